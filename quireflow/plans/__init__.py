@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("layout_views", "text_search", "page_layout", "page_algebra")
+_MODULES = ("layout_views", "text_search", "page_layout", "page_algebra", "forms_comments")
 
 
 def _load():

@@ -154,11 +154,13 @@ class Views:
             )
 
         lits = lambda xs: F.array(*[F.lit(x) for x in xs])
+        # One nation in seven is not offered, so its customers hold a value outside the options.
+        nations = F.expr("filter(transform(sequence(0, 24), i -> if(i % 7 = 6, '', concat('NATION_', i))), x -> x <> '')")
         every = F.array(
             field(0, "name", "Tx", 0, 12, none, none, F.array("c_name")),
             field(1, "segment", "Ch", 1 << 17, None, lits(segments), none, F.array("c_mktsegment")),
             field(2, "in_credit", "Btn", 0, None, none, lits(["Yes"]), F.array(F.when(F.col("c_acctbal") >= 0, "Yes").otherwise("Off"))),
-            field(3, "nations", "Ch", 1 << 21, None, none, none, F.array("n_name")),
+            field(3, "nations", "Ch", 1 << 21, None, nations, none, F.array("n_name")),
             field(4, "sign", "Sig", 0, None, none, none, none),
             field(5, "submit", "Btn", 1 << 16, None, none, none, none),
         )
@@ -220,9 +222,9 @@ class Views:
         return o.select(
             F.col("o_custkey").alias("doc_id"), k.alias("sig_id"), F.when(k % 43 == 0, "").otherwise(F.col("c_name")).alias("signer"),
             (k % 13 != 0).alias("signature_valid"), (k % 11 != 0).alias("digest_matches"),
-            (k % 7 != 0).alias("covers_whole"), (k % 5 == 0).alias("expired"),
-            F.when(k % 17 == 0, "broken").when(k % 3 == 0, "unanchored").otherwise("trusted").alias("chain"),
-            F.when(k % 4 != 0, k % 4).alias("level"),
+            (k % 7 != 0).alias("covers_whole"), (k % 9 == 0).alias("expired"),
+            F.when(k % 17 == 0, "broken").when(k % 3 == 0, "selfSigned").when(k % 3 == 1, "incomplete").otherwise("issuerNotChecked").alias("chain"),
+            F.when(k % 5 != 0, k % 5).alias("level"),
             F.when(k % 19 == 0, F.array(F.lit("unreadable"))).otherwise(F.array().cast("array<string>")).alias("problems"),
         )
 
@@ -320,7 +322,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id, 0 AS seq, 'name' AS name, 'Tx' AS ft, 0 AS ff, 12 AS max_len, []::VARCHAR[] AS options, []::VARCHAR[] AS on_states, [c_name] AS value FROM c
         UNION ALL SELECT doc_id, 1, 'segment', 'Ch', 131072, NULL, ['BUILDING','AUTOMOBILE','MACHINERY','HOUSEHOLD','FURNITURE'], [], [c_mktsegment] FROM c
         UNION ALL SELECT doc_id, 2, 'in_credit', 'Btn', 0, NULL, [], ['Yes'], [CASE WHEN c_acctbal >= 0 THEN 'Yes' ELSE 'Off' END] FROM c
-        UNION ALL SELECT doc_id, 3, 'nations', 'Ch', 2097152, NULL, [], [], [n_name] FROM c
+        UNION ALL SELECT doc_id, 3, 'nations', 'Ch', 2097152, NULL, (SELECT list(n_name ORDER BY n_nationkey) FROM nation WHERE n_nationkey % 7 <> 6), [], [n_name] FROM c
         UNION ALL SELECT doc_id, 4, 'sign', 'Sig', 0, NULL, [], [], [] FROM c
         UNION ALL SELECT doc_id, 5, 'submit', 'Btn', 65536, NULL, [], [], [] FROM c"""),
     "field_kinds": (("fields",), """
@@ -346,9 +348,9 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                "left", top, "right", bottom FROM runs"""),
     "signatures": ((), """
         SELECT o_custkey AS doc_id, k AS sig_id, CASE WHEN k % 43 = 0 THEN '' ELSE c_name END AS signer, k % 13 <> 0 AS signature_valid,
-               k % 11 <> 0 AS digest_matches, k % 7 <> 0 AS covers_whole, k % 5 = 0 AS expired,
-               CASE WHEN k % 17 = 0 THEN 'broken' WHEN k % 3 = 0 THEN 'unanchored' ELSE 'trusted' END AS chain,
-               CASE WHEN k % 4 <> 0 THEN k % 4 END AS level,
+               k % 11 <> 0 AS digest_matches, k % 7 <> 0 AS covers_whole, k % 9 = 0 AS expired,
+               CASE WHEN k % 17 = 0 THEN 'broken' ELSE ['selfSigned', 'incomplete', 'issuerNotChecked'][k % 3 + 1] END AS chain,
+               CASE WHEN k % 5 <> 0 THEN k % 5 END AS level,
                CASE WHEN k % 19 = 0 THEN ['unreadable'] ELSE []::VARCHAR[] END AS problems
         FROM (SELECT *, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey)"""),
     "edit_events": ((), """
