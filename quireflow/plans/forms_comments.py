@@ -15,10 +15,10 @@ _join = lambda c: F.array_join(c, "|")
 
 
 @query("filter_annotations", "P3", f"""
-    SELECT doc_id, id FROM annotations WHERE kind IN ('note', 'line', 'highlight', 'stamp') AND author = 'user' AND modified >= 1704067200000 + 3600000
+    SELECT doc_id, id FROM annotations WHERE kind IN ('note', 'rectangle', 'strikeout', 'stamp') AND author = 'user' AND modified >= 1704067200000 + 3600000
       AND contains(lower(contents || ' ' || author || ' ' || {_LABELS!r}[seq % 14 + 1]), 'que')""", "annotations")
 def filter_annotations(v):
-    out = A.filter_annotations(v.annotations(), " QUE ", ["note", "line", "highlight", "stamp"], "user", 1704067200000 + 3600000)
+    out = A.filter_annotations(v.annotations(), " QUE ", ["note", "rectangle", "strikeout", "stamp"], "user", 1704067200000 + 3600000)
     return out.select("doc_id", "id")
 
 
@@ -187,7 +187,7 @@ def choice_errors(v):
     SELECT doc_id, f.seq, f.name, s.slot AS new_slot FROM f JOIN s USING (doc_id, k) UNION ALL SELECT doc_id, seq, NULL, seq FROM fields WHERE name = 'sign'""", "fields")
 def tab_order(v):
     f = v.fields().select("doc_id", "seq", F.when(F.col("name") != "sign", F.col("name")).alias("name"))
-    return M.tab_order(f, ["nations", "ghost", "name"], ["doc_id"], "seq").withColumn("seq", F.col("seq").cast("int")).withColumn("new_slot", F.col("new_slot").cast("int"))
+    return M.tab_order(f, ["nations", "ghost", "name"], ["doc_id"], "seq")
 
 
 @query("upsert_fields", "G11", """

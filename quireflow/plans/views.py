@@ -319,7 +319,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM conversations"""),
     "fields": ((), """
         WITH c AS (SELECT c_custkey AS doc_id, * FROM customer JOIN nation ON c_nationkey = n_nationkey)
-        SELECT doc_id, 0 AS seq, 'name' AS name, 'Tx' AS ft, 0 AS ff, 12 AS max_len, []::VARCHAR[] AS options, []::VARCHAR[] AS on_states, [c_name] AS value FROM c
+        SELECT doc_id, 0::BIGINT AS seq, 'name' AS name, 'Tx' AS ft, 0::BIGINT AS ff, 12 AS max_len, []::VARCHAR[] AS options, []::VARCHAR[] AS on_states, [c_name] AS value FROM c
         UNION ALL SELECT doc_id, 1, 'segment', 'Ch', 131072, NULL, ['BUILDING','AUTOMOBILE','MACHINERY','HOUSEHOLD','FURNITURE'], [], [c_mktsegment] FROM c
         UNION ALL SELECT doc_id, 2, 'in_credit', 'Btn', 0, NULL, [], ['Yes'], [CASE WHEN c_acctbal >= 0 THEN 'Yes' ELSE 'Off' END] FROM c
         UNION ALL SELECT doc_id, 3, 'nations', 'Ch', 2097152, NULL, (SELECT list(n_name ORDER BY n_nationkey) FROM nation WHERE n_nationkey % 7 <> 6), [], [n_name] FROM c
