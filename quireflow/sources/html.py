@@ -303,48 +303,53 @@ def html_table_cells(pages: DataFrame, key: str = "page_id", source: str = "html
         F.array_join(F.sort_array(F.collect_list(F.struct("tok_no", F.when(kind == "text", decode_entities(F.col("raw"))).when(tag == "br", _BR).otherwise("").alias("p"))))["p"], "").alias("_t"),
     )
     ready = g.select(key, "table_no", "_row", "_cell", "colspan", "rowspan", "section", collapse_space(F.col("_t")).alias("text"))
-    out = f"{key} {dict(ready.dtypes)[key]}, table_no int, row_no long, col_no long, colspan long, merge string, header boolean, text string"
-    return ready.groupBy(key, "table_no").applyInPandas(_place_cells(key), out)
-
-
-def _place_cells(key: str):
-    order = {"thead": 0, "tbody": 1, "tfoot": 2}
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_row", "_cell"])
-        rows = [(order[r["section"].iloc[0]], i, r) for i, (_, r) in enumerate(pdf.groupby("_row"))]
-        rows = [r for *_, r in sorted(rows, key=lambda x: x[:2])]
-        covered: list[dict[int, tuple[int, int]]] = [{} for _ in rows]
-        out = []
-
-        def skip(r: int, col: int, header: bool) -> int:
-            while col in covered[r]:
-                start, span = covered[r][col]
-                if start == col:
-                    out.append((r, col, span, "continue", header, ""))
-                    col += span
-                else:
-                    col += 1
-            return col
-
-        for r, row in enumerate(rows):
-            header, col = row["section"].iloc[0] == "thead", 0
-            for cell in row.itertuples():
-                col = skip(r, col, header)
-                cs = min(max(int(cell.colspan), 1), 1000)
-                left = len(rows) - r
-                rs = left if int(cell.rowspan) == 0 else min(max(int(cell.rowspan), 1), left)
-                for below in range(r + 1, r + rs):
-                    covered[below].update({c: (col, cs) for c in range(col, col + cs)})
-                out.append((r, col, cs, "start" if rs > 1 else "none", header, cell.text))
-                col += cs
-            skip(r, col, header)
-        res = pd.DataFrame(out, columns=["row_no", "col_no", "colspan", "merge", "header", "text"])
-        res.insert(0, "table_no", pdf["table_no"].iloc[0])
-        res.insert(0, key, pdf[key].iloc[0])
-        return res
-
-    return place
+    # One table is one row, so a batch of tables goes to Python at a time.
+    cells = F.sort_array(F.collect_list(F.struct("_row", "_cell", "colspan", "rowspan", "section", "text")))
+    placed = ready.groupBy(key, "table_no").agg(cells.alias("_c")).withColumn("_c", _place_cells(F.col("_c")))
+    return placed.select(key, "table_no", F.inline("_c"))
+
+
+_SECTION_ORDER = {"thead": 0, "tbody": 1, "tfoot": 2}
+_SLOT = "array<struct<row_no:bigint,col_no:bigint,colspan:bigint,merge:string,header:boolean,text:string>>"
+
+
+def _place_cells(tables: Column) -> Column:
+    def batch(cells: pd.Series) -> pd.Series:
+        return cells.map(_slots)
+
+    return F.pandas_udf(batch, _SLOT)(tables)
+
+
+def _slots(cells) -> list[tuple]:
+    """Walk one table's rows in display order, filling slots left to right."""
+    rows: dict[int, list] = {}
+    for c in cells:
+        rows.setdefault(c["_row"], []).append(c)
+    shown = sorted(rows.values(), key=lambda r: (_SECTION_ORDER[r[0]["section"]], r[0]["_row"]))
+    covered: list[dict[int, tuple[int, int]]] = [{} for _ in shown]
+    out: list[tuple] = []
+
+    def skip(r: int, col: int, header: bool) -> int:
+        while col in covered[r]:
+            start, span = covered[r][col]
+            if start == col:
+                out.append((r, col, span, "continue", header, ""))
+            col += span if start == col else 1
+        return col
+
+    for r, row in enumerate(shown):
+        header, col, left = row[0]["section"] == "thead", 0, len(shown) - r
+        for cell in row:
+            col = skip(r, col, header)
+            wide = min(max(int(cell["colspan"]), 1), 1000)
+            tall = left if cell["rowspan"] == 0 else min(max(int(cell["rowspan"]), 1), left)
+            for below in range(r + 1, r + tall):
+                covered[below].update({c: (col, wide) for c in range(col, col + wide)})
+            out.append((r, col, wide, "start" if tall > 1 else "none", header, cell["text"]))
+            col += wide
+        skip(r, col, header)
+    names = ("row_no", "col_no", "colspan", "merge", "header", "text")
+    return [dict(zip(names, slot)) for slot in out]
 
 
 def html_resources(df: DataFrame, src: str = "src", limit: int = IMAGE_LIMIT) -> DataFrame:
