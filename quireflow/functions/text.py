@@ -105,9 +105,9 @@ def format_from_path(path: Column) -> Column:
 
 def winansi_offenders(text: Column) -> Column:
     """Up to three distinct characters the built-in fonts cannot draw, in order of appearance."""
-    # Printable ASCII and Latin-1, and the assigned Windows-1252 characters.
+    # ASCII, Latin-1, and the assigned Windows-1252 characters.
     high = "".join(c for c in CP1252_HIGH if ord(c) > 0xFF)
-    bad = F.regexp_replace(text, f"[\\x20-\\x7E\\u00A0-\\u00FF{high}]", "")
+    bad = F.regexp_replace(text, f"[\\x00-\\x7E\\u00A0-\\u00FF{high}]", "")
     return F.slice(F.array_distinct(F.filter(F.split(bad, ""), lambda c: c != "")), 1, 3)
 
 

@@ -255,9 +255,10 @@ def cite_chunks(v):
     return K.cite_chunks(top, chunks, "vec_id").select("question", "vec_id", "rank", "chunk_no", "page_no", "start", "citation")
 
 
-@query("key_value_pairs", "D9", r"""
-    SELECT doc_id, line_no, regexp_extract(l, '^\s*([^:\n]*[^:\s])\s*:\s+(\S.*?)\s*$', 1) AS key, regexp_extract(l, '^\s*([^:\n]*[^:\s])\s*:\s+(\S.*?)\s*$', 2) AS value FROM (
-      SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
-    WHERE regexp_matches(l, '^\s*([^:\n]*[^:\s])\s*:\s+(\S.*?)\s*$')""")
+@query("key_value_pairs", "D9", """
+    SELECT c_custkey AS doc_id, i::BIGINT AS line_no, k AS key, x AS value FROM customer, LATERAL (VALUES (0, 'Name', c_name), (2, 'Market segment', c_mktsegment || ' : yes'), (4, 'Key', c_custkey::VARCHAR)) t(i, k, x)""")
 def key_value_pairs(v):
-    return K.key_value_pairs(v.table("documents", "doc_id", "text"))
+    c = F.concat(
+        F.lit("Name: "), "c_name", F.lit("\nno pair here\n  Market segment :  "), "c_mktsegment", F.lit(" : yes  \nhttp://x.example\nKey: "), "c_custkey", F.lit("\n: none\nempty: ")
+    )
+    return K.key_value_pairs(v.table("customer").select(F.col("c_custkey").alias("doc_id"), c.alias("text")))

@@ -24,10 +24,16 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str, *columns: str) -> DataFrame:
         return read_table(self.spark, self.folder, name, list(columns) or None)
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a file stream: every file is read once, in order of arrival."""
+        schema = self.table(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
     # pages and layout ------------------------------------------------------------
     def sheets(self) -> DataFrame:
         two = F.col("doc_id") % 2 == 1
@@ -228,12 +234,12 @@ class Views:
             F.when(k % 19 == 0, F.array(F.lit("unreadable"))).otherwise(F.array().cast("array<string>")).alias("problems"),
         )
 
-    def edit_events(self) -> DataFrame:
-        e = self.table("events", "event_id", "ts", "user_id", "event_type", "value")
+    def edit_events(self, source: DataFrame | None = None) -> DataFrame:
+        e = source if source is not None else self.table("events", "event_id", "ts", "user_id", "event_type", "value")
         op = F.expr("CASE event_type WHEN 'click' THEN 'record' WHEN 'view' THEN 'soft' WHEN 'error' THEN 'undo' "
                     "WHEN 'signup' THEN 'redo' ELSE 'save' END")
         return e.select(
-            F.col("user_id").alias("doc_id"), "event_id", "ts", op.alias("op"),
+            F.col("user_id").alias("doc_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), op.alias("op"),
             F.floor(F.col("value") * 1048576).cast("long").alias("heap_bytes"),
         )
 
