@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A fold appends into a small buffer and moves full buffers aside, so the copying done by
@@ -59,3 +59,13 @@ def fold_collect(
     return F.aggregate(
         items, start, merge, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["cur"])))
     )
+
+
+def each(df: DataFrame, keep: list, array: Column, item: str, pos: str = "_pos") -> DataFrame:
+    """One row per array element, with its position.
+
+    A plain explode makes the optimizer test ``size(array) > 0`` below it, which computes
+    a costly array twice. The outer form is not rewritten so; its empty rows are dropped
+    after it.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import each
 from ..functions.text import parse_floats, xml_unescape
 from .hierarchy import pointer_roots
 from .scan import block_of, dense_index
@@ -119,7 +120,7 @@ def parse_xfdf_annotations(df: DataFrame, xml: str = "xml") -> DataFrame:
     whole = rf"(?s)<(?:{tags})\b[^>]*?/>|<({tags})\b[^>]*>.*?</\1>"
     body = F.regexp_extract(F.col(xml), r"(?s)<annots>(.*)</annots>", 1)
     keep = [c for c in df.columns if c != xml]
-    e = df.select(*keep, F.posexplode(F.regexp_extract_all(body, F.lit(whole), F.lit(0))).alias("seq", "_el"))
+    e = each(df, keep, F.regexp_extract_all(body, F.lit(whole), F.lit(0)), "_el", "seq")
     head = F.regexp_extract("_el", r"(?s)^<[a-z]+([^>]*?)/?>", 1)
     inner = lambda t: xml_unescape(F.regexp_extract("_el", rf"(?s)<{t}(?:\s[^>]*)?>(.*?)</{t}>", 1))
     arrow = lambda c: F.coalesce((F.lower(c) != "none") & (c != ""), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import fold_collect
+from ..functions.folds import each, fold_collect
 from ..functions.text import csv_quote, xml_unescape
 from .hierarchy import qualified_names
 from .tables import xml_escape
@@ -188,7 +188,7 @@ def csv_rows(text: Column) -> Column:
 def parse_form_csv(df: DataFrame, text: str = "text") -> DataFrame:
     """``name,type,value`` rows, header optional; several values are parted by semicolons."""
     keep = [c for c in df.columns if c != text]
-    e = df.select(*keep, F.posexplode(csv_rows(F.col(text))).alias("seq", "_r"))
+    e = each(df, keep, csv_rows(F.col(text)), "_r", "seq")
     e = e.filter((F.size("_r") >= 2) & ~((F.get("_r", F.lit(0)) == "name") & (F.get("_r", F.lit(1)) == "type")))
     raw = F.coalesce(F.get("_r", F.lit(2)), F.lit(""))
     value = F.when(raw == "", F.array().cast("array<string>")).otherwise(F.split(raw, ";", -1))
@@ -201,7 +201,7 @@ def parse_form_xfdf(df: DataFrame, text: str = "text") -> DataFrame:
     named = r"""(?s)<field (?=[^>]*\bname=["'])[^>]*>.*?(?:</field>|\z)"""
     ok = F.contains(text, F.lit("<xfdf"))
     found = F.when(ok, F.regexp_extract_all(text, F.lit(named), F.lit(0))).otherwise(F.array(F.lit("")))
-    e = df.select(*keep, ok.alias("_ok"), F.posexplode(found).alias("seq", "_f"))
+    e = each(df, [*keep, ok.alias("_ok")], found, "_f", "seq")
     quoted = F.regexp_extract("_f", r"""\bname=("[^"]*"|'[^']*')""", 1)
     name = xml_unescape(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
     body = F.regexp_extract("_f", r"(?s)^[^>]*>(.*)", 1)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import each
+
 PAGE = ["doc_id", "page_no"]
 COLUMN_GAP = 36.0
 MAX_COLUMNS = 4
@@ -89,7 +91,7 @@ def line_groups(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
         "transform(_starts, (b, k) -> array_sort(transform("
         f"slice(_s, b + 1, coalesce(get(_starts, k + 1), size(_s)) - b), x -> named_struct({row}))))"
     )
-    lines = starts.select(*keys, F.posexplode(F.expr(cut)).alias("line_no", "pieces"))
+    lines = each(starts, keys, F.expr(cut), "pieces", "line_no")
     edge = lambda fn, c: F.expr(f"array_{fn}(transform(pieces, x -> x.{c}))")
     extra = [edge("max", "size").alias("size")] if "size" in payload else []
     return lines.select(
@@ -107,7 +109,7 @@ def reading_order(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every run with its ``column_no``, ``line_no`` and ``seq``: columns, lines, left to right."""
     keys = keys or PAGE
     lines = reading_lines(runs, keys)
-    e = lines.select(*keys, "column_no", "line_no", F.posexplode("pieces").alias("seq", "p"))
+    e = each(lines, [*keys, "column_no", "line_no"], F.col("pieces"), "p", "seq")
     cols = [c for c in runs.columns if c not in keys]
     return e.select(*keys, "column_no", "line_no", F.col("seq").cast("long").alias("seq"), *[F.col(f"p.{c}").alias(c) for c in cols])
 

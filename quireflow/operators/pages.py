@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import each
 from ..functions.numbering import bates_label, format_number
 from ..session import checkpointed
 from .page_ranges import PageSpec
@@ -287,7 +288,7 @@ def split_by_size(pages: DataFrame, max_bytes: int, in_row: int = IN_ROW_PAGES)
         f"if(size(a.at) > 0 AND a.sum + x.n_bytes <= {max_bytes}, named_struct('sum', a.sum + x.n_bytes, 'at', a.at), "
         "named_struct('sum', x.n_bytes, 'at', concat(a.at, array(x.page_no)))), a -> a.at)"
     )
-    starts = g.select("doc_id", F.explode(F.expr(fold)).alias("page_no"))
+    starts = each(g, ["doc_id"], F.expr(fold), "page_no").drop("_pos")
     # Planned only when such a document exists: one cheap existence probe on page counts.
     if not long_docs.isEmpty():
         starts = starts.unionByName(_long_starts(pages.join(long_docs, "doc_id", "left_semi"), max_bytes))

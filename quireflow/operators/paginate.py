@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import let
+from ..functions.folds import each, let
 
 # Scripts in which a line may break between any two characters.
 _ANYWHERE = (
@@ -85,4 +85,4 @@ def paginate_text(
     c = cols if isinstance(cols, Column) else F.lit(cols)
     n = lines_per_page if isinstance(lines_per_page, Column) else F.lit(lines_per_page)
     keep = [x for x in df.columns if x != text]
-    return df.select(*keep, F.posexplode(text_pages(F.col(text), c, n)).alias("page_no", "lines"))
+    return each(df, keep, text_pages(F.col(text), c, n), "lines", "page_no")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import each
 from ..functions.fonts import FALLBACK_FAMILIES, fallback_substitute, font_class, is_standard, normalize_font_key
 from ..functions.text import strip_subset_tag
 from .scan import union_all
@@ -69,7 +70,7 @@ def closest_face(wanted: DataFrame, faces: DataFrame) -> DataFrame:
 
 def glyph_usage(runs: DataFrame, font: str, text: str) -> DataFrame:
     """Characters each font draws; distinct ones leave each row before anything is shuffled."""
-    chars = runs.select(font, F.explode(F.array_distinct(F.split(text, ""))).alias("char")).filter("char <> ''").distinct()
+    chars = each(runs, [font], F.array_distinct(F.split(text, "")), "char").select(font, "char").filter("char <> ''").distinct()
     return chars.groupBy(font).agg(F.count(F.lit(1)).alias("glyphs"), F.array_join(F.sort_array(F.collect_list("char")), "").alias("characters"))
 
 

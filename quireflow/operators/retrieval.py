@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import each
+
 
 def chunk_text(df: DataFrame, text: str = "text", size: int = 800, overlap: int = 100) -> DataFrame:
     """Overlapping character windows over whole texts; the last one ends at the text's end."""
@@ -57,7 +59,7 @@ def cite_chunks(top: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
 def key_value_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     """``key: value`` lines of each text, in order."""
     keep = [c for c in df.columns if c != text]
-    lines = df.select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "_l"))
+    lines = each(df, keep, F.split(text, "\n", -1), "_l", "line_no")
     pattern = r"^\s*([^:\n]*[^:\s])\s*:\s+(\S.*?)\s*$"
     hit = lines.filter(F.rlike("_l", F.lit(pattern)))
     return hit.select(*keep, F.col("line_no").cast("long").alias("line_no"), F.regexp_extract("_l", pattern, 1).alias("key"), F.regexp_extract("_l", pattern, 2).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import fold_collect
+from ..functions.folds import each, fold_collect
 from ..functions.spans import ASCII_BOUNDARY, SPAN, literal_pattern, spans
 
 HIT = "struct<start:int,end:int,kind:string,text:string>"
@@ -31,7 +31,7 @@ def search(
     pattern = literal_pattern(query, case_sensitive, whole_word)
     # The cheap count first: rows without a match never reach the position fold.
     hit = df.filter(F.regexp_like(text, F.lit(pattern)))
-    found = hit.select(*keep, F.explode(spans(F.col(text), pattern)).alias("s"))
+    found = each(hit, keep, spans(F.col(text), pattern), "s")
     return found.select(*keep, F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
@@ -108,7 +108,7 @@ def find_patterns(
 
 
 def explode_hits(df: DataFrame, keep: list[str], hits: str = "hits") -> DataFrame:
-    e = df.select(*keep, F.explode(hits).alias("h"))
+    e = each(df, keep, F.col(hits), "h")
     return e.select(
         *keep, F.col("h.kind").alias("kind"), F.col("h.start").cast("long").alias("start"),
         F.col("h.end").cast("long").alias("end"), F.col("h.text").alias("preview"),

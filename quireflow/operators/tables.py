@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import fold_collect
+from ..functions.folds import each, fold_collect
 from .layout import PAGE, join_pieces, paragraph_breaks, paragraphs, reading_lines
 
 TOLERANCE = 2.0
@@ -187,7 +187,7 @@ def document_blocks(lines: DataFrame, tables: DataFrame, images: DataFrame | Non
     )
     # Tables at one place keep the order of their tops, which the position in the array gives.
     ranked = f"array_sort(transform({every}, (b, i) -> named_struct('pos', b.pos, 'rank', b.rank, 'i', i, 'b', b)))"
-    e = j.select(*PAGE, F.posexplode(F.expr(ranked)).alias("block_no", "x"))
+    e = each(j, PAGE, F.expr(ranked), "x", "block_no")
     return e.select(*PAGE, F.col("block_no").cast("long").alias("block_no"), *[F.col(f"x.b.{c}").alias(c) for c in ("no", "kind", "heading", "runs", "text")])
 
 

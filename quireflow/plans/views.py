@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folds import each
 from ..operators.paginate import paginate_text
 from ..sources.tables import read_table
 
@@ -68,7 +69,7 @@ class Views:
             "filter(transform(array(split(line, ' ')), p -> transform(p, (x, i) -> "
             "named_struct('text', x, 'start', i + length(array_join(slice(p, 1, i), '')))))[0], s -> s.text <> '')"
         )
-        words = lines.select("doc_id", "lang", "page_no", "line_no", F.posexplode(word).alias("w", "s"))
+        words = each(lines, ["doc_id", "lang", "page_no", "line_no"], word, "s", "w")
         two = F.col("doc_id") % 2 == 1
         second = two & (F.col("line_no") >= 50)
         x0 = F.when(second, 354).otherwise(72) + F.when(F.col("line_no") % 10 == 5, 18).otherwise(0)
@@ -130,7 +131,7 @@ class Views:
     def hrefs(self) -> DataFrame:
         """Link targets of the raw web pages."""
         found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-        return self.table("pages", "page_id", "html").select("page_id", F.posexplode(found).alias("seq", "href"))
+        return each(self.table("pages", "page_id", "html"), ["page_id"], found, "href", "seq")
 
     # comments ----------------------------------------------------------------------
     def annotations(self) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import let
+from ..functions.folds import each, let
 from ..functions.numbering import list_marker
 from ..functions.text import CP1252_HIGH, _LATIN1_HIGH, percent_decode, scheme
 
@@ -94,7 +94,7 @@ def decode_entities(text: Column, every_name: bool = True) -> Column:
 def html_tokens(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
     """``(key, tok_no, kind, tag, raw)``; kind is start, end, raw (an element of raw text) or text."""
     found = F.regexp_extract_all(source, F.lit(_TOKEN), F.lit(0))
-    t = pages.select(key, F.posexplode(found).alias("tok_no", "raw"))
+    t = each(pages, [key], found, "raw", "tok_no")
     t = t.filter(~F.rlike("raw", F.lit(r"^<[!?]"))).withColumn("tag", _tag(F.col("raw")))
     kind = (
         F.when(F.col("tag") == "", "text").when(F.col("raw").startswith("</"), "end")
@@ -306,7 +306,7 @@ def html_table_cells(pages: DataFrame, key: str = "page_id", source: str = "html
     # One table is one row, so a batch of tables goes to Python at a time.
     cells = F.sort_array(F.collect_list(F.struct("_row", "_cell", "colspan", "rowspan", "section", "text")))
     placed = ready.groupBy(key, "table_no").agg(cells.alias("_c")).withColumn("_c", _place_cells(F.col("_c")))
-    return placed.select(key, "table_no", F.inline("_c"))
+    return each(placed, [key, "table_no"], F.col("_c"), "c").select(key, "table_no", "c.*")
 
 
 _SECTION_ORDER = {"thead": 0, "tbody": 1, "tfoot": 2}
