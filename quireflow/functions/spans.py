@@ -65,7 +65,7 @@ def spans(text: Column, pattern: str) -> Column:
         )
 
     none = F.array().cast(f"array<{SPAN}>")
-    found = let(pieces, lambda p: F.when(F.size(p) < 3, none).otherwise(let(piece_ends(p), lambda e: pair_up(p, e))))
+    found = let(pieces, lambda p: F.when(p.isNull() | (F.size(p) < 3), none).otherwise(let(piece_ends(p), lambda e: pair_up(p, e))))
     return F.coalesce(found, none)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import each, fold_collect
+from ..functions.folds import each, fold_collect, let
 from ..functions.text import csv_quote, xml_unescape
 from .hierarchy import qualified_names
 from .tables import xml_escape
@@ -182,7 +182,10 @@ def csv_rows(text: Column) -> Column:
         full = F.concat(row, F.array(clean(F.regexp_replace(cell, r"[,\n]\z", ""))))
         return F.when(ended, F.array().cast("array<string>")).otherwise(full), F.when(ended, full)
 
-    return fold_collect(cells, F.array().cast("array<string>"), "array<string>", "array<string>", step)
+    rows = fold_collect(cells, F.array().cast("array<string>"), "array<string>", "array<string>", step)
+    # The expression also matches the empty text at the very end, which is no row.
+    last = lambda r: F.element_at(r, -1) == F.array(F.lit(""))
+    return let(rows, lambda r: F.when((F.size(r) > 0) & last(r), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
 
 
 def parse_form_csv(df: DataFrame, text: str = "text") -> DataFrame:

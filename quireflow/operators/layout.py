@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import each
+from .scan import block_of, running
 
 PAGE = ["doc_id", "page_no"]
 COLUMN_GAP = 36.0
@@ -18,6 +19,8 @@ HEADING_RATIO = 1.15
 OBVIOUS_RATIO = 1.5
 WIDTH_SHARE = 0.8
 PARAGRAPH_GAP = 1.5
+# The Unicode white-space characters.
+_SPACES = "\t\n\u000b\u000c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def bucket(size: Column) -> Column:
@@ -27,7 +30,7 @@ def bucket(size: Column) -> Column:
 
 def ink(text: Column) -> Column:
     """How many characters are not white space."""
-    return F.length(F.regexp_replace(text, r"(?U)\s", ""))
+    return F.length(F.translate(text, _SPACES, ""))
 
 
 def to_visual(runs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -143,6 +146,22 @@ def document_text(pages: DataFrame) -> DataFrame:
     return out.withColumn("characters", F.length("text").cast("long"))
 
 
+def document_text_parts(pages: DataFrame) -> DataFrame:
+    """What each page adds to its document's text file: ``part``, in page order.
+
+    The separator depends on whether anything was written before, which is a running maximum
+    over blocks of pages, so a document of any length is written without being gathered.
+    """
+    wrote = F.when(F.col("text") != "", 1).otherwise(0)
+    seen = running(pages, ["doc_id"], block_of("page_no"), [F.col("page_no")], {"_seen": ("max", wrote)}, inclusive=False)
+    return seen.withColumn("part", F.concat(F.when(F.col("_seen") == 1, "\n").otherwise(""), "text")).drop("_seen", "text")
+
+
+def text_summary(parts: DataFrame) -> DataFrame:
+    """Pages and characters per document; lengths are summed before the shuffle."""
+    return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("part")).alias("characters"))
+
+
 def size_stats(runs: DataFrame) -> DataFrame:
     """Per document: ``body`` size and ``sizes``, the heading buckets largest first.
 

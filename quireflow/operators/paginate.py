@@ -36,7 +36,7 @@ def wrap_line(line: Column, cols: Column) -> Column:
     rest = (cols - 1).cast("string")
     brk = f"(?:(?= |$)|(?<={_ANYWHERE})|(?={_ANYWHERE}))"
     pattern = F.concat(
-        F.lit("(?s)^(?= ).{0,"), rest, F.lit("}(?<! )" + brk),
+        F.lit("(?s)^(?= ).{1,"), cols.cast("string"), F.lit("}(?<! )" + brk),
         F.lit("|[^ ].{0,"), rest, F.lit("}" + brk),
         F.lit("|[^ ]{"), cols.cast("string"), F.lit("}"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import each, fold_collect
+from ..functions.folds import each, fold_collect, let
 from ..functions.spans import ASCII_BOUNDARY, SPAN, literal_pattern, spans
 
 HIT = "struct<start:int,end:int,kind:string,text:string>"
@@ -138,7 +138,18 @@ def redacted(text: Column, hits: Column) -> Column:
         ),
     )
     tail = F.substring(text, F.element_at(hits, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(hits) == 0, text).otherwise(F.concat(F.array_join(cuts, ""), tail))
+    few = F.concat(F.array_join(cuts, ""), tail)
+
+    # Each substring counts characters from the start of the text; with many hits the text is
+    # cut into characters once instead, and slices of that are joined.
+    def by_slices(chars: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(hits, i - 1)["end"])
+        kept = F.transform(hits, lambda h, i: F.slice(chars, before(i) + 1, h["start"] - before(i)))
+        last = F.element_at(hits, -1)["end"]
+        return F.concat(F.array_join(F.flatten(kept), ""), F.array_join(F.slice(chars, last + 1, F.size(chars) - last), ""))
+
+    many = let(F.split(text, ""), by_slices)
+    return F.when(F.size(hits) == 0, text).when(F.size(hits) <= 64, few).otherwise(many)
 
 
 def redact_text(df: DataFrame, text: str = "text", hits: str = "hits") -> DataFrame:

@@ -225,15 +225,29 @@ def table_html(cells: DataFrame, pars: DataFrame) -> DataFrame:
     return body.select(*TABLE, F.concat(F.lit("<table><tbody>"), F.array_join(F.transform("_r", lambda s: s["tr"]), ""), F.lit("</tbody></table>")).alias("html"))
 
 
-def blocks_to_html(blocks: DataFrame, tables: DataFrame, folder: str = "images") -> DataFrame:
-    """One HTML string per page in block order; images are numbered through their document."""
+PX_PER_POINT = 96.0 / 72.0
+
+
+def blocks_to_html(blocks: DataFrame, tables: DataFrame, folder: str = "images", sizes: DataFrame | None = None) -> DataFrame:
+    """One HTML string per page in block order; images are numbered through their document.
+
+    ``sizes`` has each image's drawn ``width_points`` and ``height_points``.
+    """
+    from ..functions.text import encode_segment
     from .scan import block_of, dense_index
 
     pos = F.col("page_no") * 1000000 + F.col("block_no")
     numbered = dense_index(blocks.filter("kind = 'image'").select(*PAGE, "block_no").withColumn("_pos", pos), ["doc_id"], block_of("_pos", 1 << 36), [F.col("_pos")], "image_index")
     j = blocks.join(numbered.select(*PAGE, "block_no", "image_index"), [*PAGE, "block_no"], "left")
     j = j.join(tables.select(*PAGE, F.col("table_no").alias("no"), F.lit("table").alias("kind"), F.col("html").alias("_t")), [*PAGE, "no", "kind"], "left")
-    img = F.format_string(f'<img src="{folder}/image-%03d.png" alt="">', F.col("image_index") + 1)
+    drawn = F.lit("")
+    if sizes is not None:
+        dims = sizes.select(*PAGE, F.col("image_no").alias("no"), F.lit("image").alias("kind"), "width_points", "height_points")
+        j = j.join(dims, [*PAGE, "no", "kind"], "left")
+        px = lambda c: F.format_string("%.0f", F.greatest(F.col(c) * PX_PER_POINT, F.lit(1.0)))
+        drawn = F.concat(F.lit(' width="'), px("width_points"), F.lit('" height="'), px("height_points"), F.lit('"'))
+    name = F.format_string("image-%03d.png", F.col("image_index") + 1)
+    img = F.concat(F.lit('<p><img src="'), encode_segment(F.lit(folder)), F.lit("/"), name, F.lit('"'), drawn, F.lit(' alt=""></p>'))
     html = F.when(F.col("kind") == "paragraph", paragraph_html(F.col("heading"), F.col("runs"))).when(F.col("kind") == "table", F.col("_t")).otherwise(img)
     g = j.select(*PAGE, "block_no", html.alias("h")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("block_no", "h"))).alias("_b"))
     return g.select(*PAGE, F.array_join(F.transform("_b", lambda s: s["h"]), "\n").alias("html"))

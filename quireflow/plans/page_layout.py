@@ -165,6 +165,28 @@ def document_text(v):
     return d.select("doc_id", "pages", F.sha2("text", 256).alias("digest"), "characters")
 
 
+def _page_texts(v):
+    t = v.page_keys().select("doc_id", "page_no").join(L.page_text(lines_of(v)), L.PAGE, "left")
+    return t.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@query("document_text_parts", "T7 K2", """
+    WITH p AS (SELECT doc_id, page_no, coalesce(t.text, '') AS text FROM doc_pages LEFT JOIN page_text t USING (doc_id, page_no))
+    SELECT doc_id, page_no, sha256(CASE WHEN coalesce(max(CASE WHEN text <> '' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1
+      THEN chr(10) ELSE '' END || text) AS digest FROM p""", "doc_pages page_text")
+def document_text_parts(v):
+    return L.document_text_parts(_page_texts(v)).select("doc_id", "page_no", F.sha2("part", 256).alias("digest"))
+
+
+@query("text_summary", "K2", """
+    SELECT doc_id, count(*) AS pages, CAST(sum(length(coalesce(t.text, ''))) + count(*) - 1 AS BIGINT) AS characters FROM doc_pages LEFT JOIN page_text t USING (doc_id, page_no)
+    GROUP BY doc_id HAVING count(*) = count(t.text)""", "doc_pages page_text")
+def text_summary(v):
+    full = _page_texts(v)
+    blank = full.filter("text = ''").select("doc_id").distinct()
+    return L.text_summary(L.document_text_parts(full)).join(blank, "doc_id", "left_anti")
+
+
 @query("body_size", "A2", "SELECT doc_id, body FROM body", "body")
 def body_size(v):
     return L.body_size(v.runs())

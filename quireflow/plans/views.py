@@ -149,7 +149,7 @@ class Views:
 
     # forms -------------------------------------------------------------------------
     def fields(self) -> DataFrame:
-        c = self.table("customer").join(F.broadcast(self.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+        c = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         segments = "BUILDING AUTOMOBILE MACHINERY HOUSEHOLD FURNITURE".split()
         none = F.array().cast("array<string>")
 

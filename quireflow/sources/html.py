@@ -144,7 +144,8 @@ def _so_far(w):
 def live_tokens(tokens: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """``(tokens that show, warnings)``: dropped elements, embedded media and form fields removed."""
     gone = [*DROPPED, *EMBEDDED, *FORMS]
-    holds = F.col("tag").isin(*[t for t in gone if t not in VOID])
+    # An option ends where the next one or its list does, closed or not, so only the list counts.
+    holds = F.col("tag").isin(*[t for t in gone if t not in (*VOID, "option", "optgroup")])
     step = F.when(holds & (F.col("kind") == "start"), 1).when(holds & (F.col("kind") == "end"), -1).otherwise(0)
     depth = F.sum(step).over(_so_far(_by_page(key)))
     t = tokens.withColumn("_in", depth)
