@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .folds import let
 
 _BLOCK = 256
 SPAN = "struct<start:int,end:int,text:string>"
@@ -20,53 +19,46 @@ _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
-def piece_ends(pieces: Column) -> Column:
-    """Running lengths of an array of strings, starting with 0.
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Appending copies the array, so a long one is summed in blocks: local sums first, then the
-    block offsets, and the copying stays bounded.
-    """
-
-    def sums(p: Column) -> Column:
-        return F.aggregate(p, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t))))
 
-    def blocked(p: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")),
-            lambda k: sums(F.slice(p, k * _BLOCK + 1, F.lit(_BLOCK))),
-        )
+_ADD = "(a, x) -> concat(a, array(element_at(a, -1) + length(x)))"
+_SUMS = f"aggregate({{x}}, array(0), {_ADD})"
 
-        def shift(b: Column) -> Column:
-            totals = F.aggregate(b, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(x, -1))))
-            return let(
-                totals,
-                lambda o: F.concat(
-                    F.array(F.lit(0)),
-                    F.flatten(F.transform(b, lambda x, i: F.transform(F.slice(x, 2, _BLOCK), lambda v: v + F.get(o, i)))),
-                ),
-            )
+# Running lengths of the pieces ``p``, starting with 0. Appending copies the array, so a long one
+# is summed in blocks: local sums, block offsets, then both together; the copying stays bounded.
+_ENDS = (
+    f"if(size(p) <= {_BLOCK}, {_SUMS.format(x='p')}, "
+    f"transform(array(transform(sequence(0, CAST((size(p) - 1) div {_BLOCK} AS INT)), k -> {_SUMS.format(x=f'slice(p, k * {_BLOCK} + 1, {_BLOCK})')})), b -> "
+    "transform(array(aggregate(b, array(0), (a, x) -> concat(a, array(element_at(a, -1) + element_at(x, -1))))), o -> "
+    f"concat(array(0), flatten(transform(b, (x, i) -> transform(slice(x, 2, {_BLOCK}), y -> y + o[i])))))[0])[0])"
+)
 
-        return let(blocks, shift)
 
-    return F.when(F.size(pieces) <= _BLOCK, sums(pieces)).otherwise(blocked(pieces))
+def spans_sql(text: str, pattern: str) -> str:
+    """SQL for :func:`spans`; ``text`` is a column name or SQL expression.
 
-
-def spans(text: Column, pattern: str) -> Column:
+    The expression is written as SQL because building lambdas one call at a time from Python
+    costs more than running them on a small table.
+    """
+    marked = f"regexp_replace(translate({text}, '{_OPEN}{_CLOSE}', '\ufffd\ufffd'), {sql_text(f'(?:{pattern})')}, '{_OPEN}$0{_CLOSE}')"
+    # Odd pieces are gaps, even ones matches; e[k] is where the k-th piece ends.
+    pairs = (
+        "transform(sequence(1, CAST(size(p) div 2 AS INT)), i -> "
+        "named_struct('start', e[2 * i - 1], 'end', e[2 * i], 'text', p[2 * i - 1]))"
+    )
+    none = f"CAST(array() AS array<{SPAN}>)"
+    return (
+        f"transform(array(split({marked}, '[{_OPEN}{_CLOSE}]', -1)), p -> if(p IS NULL OR size(p) < 3, {none}, "
+        f"transform(array({_ENDS}), e -> {pairs})[0]))[0]"
+    )
+
+
+def spans(text: str, pattern: str) -> Column:
     """Half-open, non-overlapping ``array<struct<start,end,text>>`` of matches, left to right."""
-    clean = F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd")
-    marked = F.regexp_replace(clean, F.lit(f"(?:{pattern})"), F.lit(f"{_OPEN}$0{_CLOSE}"))
-    pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
-
-    def pair_up(p: Column, e: Column) -> Column:
-        # Odd pieces are gaps, even ones matches; e[k] is where the k-th piece ends.
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.floor(F.size(p) / 2).cast("int"), F.lit(1))),
-            lambda i: F.struct(F.get(e, i * 2 - 1).alias("start"), F.get(e, i * 2).alias("end"), F.get(p, i * 2 - 1).alias("text")),
-        )
-
-    none = F.array().cast(f"array<{SPAN}>")
-    found = let(pieces, lambda p: F.when(p.isNull() | (F.size(p) < 3), none).otherwise(let(piece_ends(p), lambda e: pair_up(p, e))))
-    return F.coalesce(found, none)
+    return F.expr(spans_sql(text, pattern))
 
 
 def literal_pattern(query: str, case_sensitive: bool = False, whole_word: bool = False) -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import each, let
+from ..functions.folds import each
+from ..functions.spans import sql_text
 
 # Scripts in which a line may break between any two characters.
 _ANYWHERE = (
@@ -15,74 +16,49 @@ _ANYWHERE = (
 _TAB_STOP = 8
 
 
-def clean_line(line: Column) -> Column:
+def clean_line_sql(line: str) -> str:
     """Tabs to eight-column stops; every other control character dropped."""
-    bare = F.regexp_replace(line, r"[\p{Cc}&&[^\t]]", "")
+    bare = f"regexp_replace({line}, {sql_text(r'[\p{Cc}&&[^\t]]')}, '')"
+    expand = (
+        "transform(array(split(bare, '\t', -1)), s -> aggregate(slice(s, 2, size(s)), s[0], "
+        f"(a, x) -> concat(a, repeat(' ', {_TAB_STOP} - length(a) % {_TAB_STOP}), x)))[0]"
+    )
+    return f"transform(array({bare}), bare -> if(contains(bare, '\t'), {expand}, bare))[0]"
 
-    def expand(parts: Column) -> Column:
-        return F.aggregate(
-            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-            F.element_at(parts, 1),
-            lambda acc, s: F.concat(
-                acc, F.repeat(F.lit(" "), _TAB_STOP - F.pmod(F.length(acc), F.lit(_TAB_STOP))), s
-            ),
-        )
 
-    return F.when(F.contains(bare, F.lit("\t")), let(F.split(bare, "\t", -1), expand)).otherwise(bare)
-
-
-def wrap_line(line: Column, cols: Column) -> Column:
+def wrap_line_sql(line: str, cols: str) -> str:
     """Greedy wrap at spaces, between CJK characters, or inside an over-long word."""
-    rest = (cols - 1).cast("string")
     brk = f"(?:(?= |$)|(?<={_ANYWHERE})|(?={_ANYWHERE}))"
-    pattern = F.concat(
-        F.lit("(?s)^(?= ).{1,"), cols.cast("string"), F.lit("}(?<! )" + brk),
-        F.lit("|[^ ].{0,"), rest, F.lit("}" + brk),
-        F.lit("|[^ ]{"), cols.cast("string"), F.lit("}"),
-    )
-    wrapped = F.transform(F.regexp_extract_all(line, pattern, F.lit(0)), lambda w: F.rtrim(w))
-    return F.when(F.length(line) <= cols, F.array(line)).otherwise(wrapped)
+    c, rest = f"CAST({cols} AS STRING)", f"CAST({cols} - 1 AS STRING)"
+    parts = [
+        sql_text("(?s)^(?= ).{1,"), c, sql_text("}(?<! )" + brk + "|[^ ].{0,"), rest, sql_text("}" + brk + "|[^ ]{"), c, sql_text("}"),
+    ]
+    wrapped = f"transform(regexp_extract_all({line}, concat({', '.join(parts)}), 0), w -> rtrim(w))"
+    return f"if(length({line}) <= {cols}, array({line}), {wrapped})"
 
 
-def text_pages(text: Column, cols: Column, lines_per_page: Column) -> Column:
+def text_pages_sql(text: str, cols: str, lines_per_page: str) -> str:
     """``array<array<string>>``: the pages of a text, each an array of lines."""
-
-    def chunk(lines: Column) -> Column:
-        count = F.ceil(F.size(lines) / lines_per_page).cast("int")
-        return F.when(
-            count > 0,
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-                lambda k: F.slice(lines, (k * lines_per_page + 1).cast("int"), lines_per_page.cast("int")),
-            ),
-        ).otherwise(F.array().cast("array<array<string>>"))
-
-    def sheet_pages(sheet: Column) -> Column:
-        body = F.regexp_replace(sheet, r"\n\z", "")
-        lines = F.flatten(
-            F.transform(F.split(body, "\n", -1), lambda raw: let(clean_line(raw), lambda c: wrap_line(c, cols)))
-        )
-        return let(lines, chunk)
-
-    def drop_blank_tail(pages: Column) -> Column:
-        used = F.array_max(
-            F.transform(pages, lambda p, i: F.when(F.exists(p, lambda x: x != ""), i + 1).otherwise(0))
-        )
-        return F.slice(pages, 1, F.coalesce(used, F.lit(0)))
-
-    normal = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    sheets = F.split(normal, "\f", -1)
-    return let(F.flatten(F.transform(sheets, sheet_pages)), drop_blank_tail)
-
-
-def paginate_text(
-    df: DataFrame, text: str = "text", cols: Column | int = 80, lines_per_page: Column | int = 50
-) -> DataFrame:
+    lines = (
+        f"flatten(transform(split(regexp_replace(sheet, {sql_text(r'\n\z')}, ''), '\n', -1), raw -> "
+        f"transform(array({clean_line_sql('raw')}), line -> {wrap_line_sql('line', cols)})[0]))"
+    )
+    chunks = (
+        f"if(size(ls) = 0, CAST(array() AS array<array<string>>), transform(sequence(0, CAST((size(ls) - 1) div {lines_per_page} AS INT)), "
+        f"k -> slice(ls, k * {lines_per_page} + 1, {lines_per_page})))"
+    )
+    normal = f"replace(replace({text}, '\r\n', '\n'), '\r', '\n')"
+    pages = f"flatten(transform(split({normal}, '\f', -1), sheet -> transform(array({lines}), ls -> {chunks})[0]))"
+    # Pages at the end with nothing on them are dropped.
+    used = "coalesce(array_max(transform(ps, (p, i) -> if(exists(p, x -> x <> ''), i + 1, 0))), 0)"
+    return f"transform(array({pages}), ps -> slice(ps, 1, {used}))[0]"
+
+
+def paginate_text(df: DataFrame, text: str = "text", cols: int | str = 80, lines_per_page: int | str = 50) -> DataFrame:
     """One row per page: all other columns, ``page_no`` (0-based) and ``lines``.
 
-    Narrow: a text is one row, so no shuffle is needed to lay it out.
+    ``cols`` and ``lines_per_page`` may be SQL expressions over the row. Narrow: a text is one row,
+    so no shuffle is needed to lay it out.
     """
-    c = cols if isinstance(cols, Column) else F.lit(cols)
-    n = lines_per_page if isinstance(lines_per_page, Column) else F.lit(lines_per_page)
     keep = [x for x in df.columns if x != text]
-    return each(df, keep, text_pages(F.col(text), c, n), "lines", "page_no")
+    return each(df, keep, F.expr(text_pages_sql(text, f"({cols})", f"({lines_per_page})")), "lines", "page_no")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import each, fold_collect, let
-from ..functions.spans import ASCII_BOUNDARY, SPAN, literal_pattern, spans
+from ..functions.folds import each
+from ..functions.spans import ASCII_BOUNDARY, SPAN, literal_pattern, spans, spans_sql, sql_text
 
 HIT = "struct<start:int,end:int,kind:string,text:string>"
 
@@ -31,7 +31,7 @@ def search(
     pattern = literal_pattern(query, case_sensitive, whole_word)
     # The cheap count first: rows without a match never reach the position fold.
     hit = df.filter(F.regexp_like(text, F.lit(pattern)))
-    found = each(hit, keep, spans(F.col(text), pattern), "s")
+    found = each(hit, keep, spans(text, pattern), "s")
     return found.select(*keep, F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
@@ -42,50 +42,40 @@ def matches_per_page(df: DataFrame, query: str, keys: list[str], text: str = "te
     return counted.filter("matches > 0")
 
 
-def luhn_card(match: Column) -> Column:
-    digits = F.regexp_replace(match, "[^0-9]", "")
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+_DIGITS = "regexp_replace(s.text, '[^0-9]', '')"
+_LUHN = f"length({_DIGITS}) BETWEEN 13 AND 19 AND luhn_check({_DIGITS})"
 
 
-def resolve_overlaps(hits: Column) -> Column:
-    """Earliest first, longest on a tie; a hit survives when it starts at or after the last kept end."""
-    ranked = F.array_sort(
-        F.transform(
-            hits, lambda h, i: F.struct(h["start"].alias("start"), (-(h["end"] - h["start"])).alias("neg"), i.alias("ord"), h.alias("h"))
-        )
-    )
-    ordered = F.transform(ranked, lambda r: r["h"])
-
-    def step(last: Column, h: Column) -> tuple[Column, Column]:
-        keep = h["start"] >= last
-        return F.when(keep, h["end"]).otherwise(last), F.when(keep, h)
+def resolve_overlaps(hits: str) -> Column:
+    """Earliest first, longest on a tie; a hit survives when it starts at or after the last kept end.
 
-    return F.when(F.size(hits) < 2, hits).otherwise(fold_collect(ordered, F.lit(-1), "int", HIT, step))
+    Kept hits go to a small buffer that is moved aside when full, so appending stays cheap.
+    """
+    ranked = f"array_sort(transform({hits}, (h, i) -> named_struct('start', h.start, 'neg', h.start - h.end, 'ord', i, 'h', h)))"
+    start = f"named_struct('last', -1, 'done', CAST(array() AS array<array<{HIT}>>), 'cur', CAST(array() AS array<{HIT}>))"
+    keep = (
+        "named_struct('last', r.h.end, 'done', if(size(a.cur) >= 256, concat(a.done, array(a.cur)), a.done), "
+        "'cur', if(size(a.cur) >= 256, array(r.h), concat(a.cur, array(r.h))))"
+    )
+    fold = f"aggregate({ranked}, {start}, (a, r) -> if(r.h.start < a.last, a, {keep}), a -> flatten(concat(a.done, array(a.cur))))"
+    return F.expr(f"if(size({hits}) < 2, {hits}, {fold})")
 
 
-def pattern_hits(text: Column, kinds: list[str], custom: list[str] | None = None) -> Column:
-    """``array<struct<start,end,kind,text>>`` over the whole text, overlaps resolved."""
+def pattern_hits(text: str, kinds: list[str], custom: list[str] | None = None) -> Column:
+    """``array<struct<start,end,kind,text>>`` of every match over the whole text, kind by kind."""
     groups = []
     for kind in kinds:
         if kind not in PATTERNS:
             raise ValueError(f"unknown pattern kind: {kind}")
-        found = spans(text, PATTERNS[kind])
+        found = spans_sql(text, PATTERNS[kind])
         if kind == "credit_card":
-            found = F.filter(found, lambda s: luhn_card(s["text"]))
+            found = f"filter({found}, s -> {_LUHN})"
         # A text without the one character every match needs is not scanned for positions.
-        needs = F.contains(text, F.lit("@")) if kind == "email" else F.regexp_like(text, F.lit(PATTERNS[kind]))
-        groups.append((kind, F.when(needs, found)))
-    for pattern in custom or []:
-        groups.append(("custom", spans(text, pattern)))
-
-    def label(kind: str, found: Column) -> Column:
-        return F.transform(
-            F.coalesce(found, F.array().cast(f"array<{SPAN}>")),
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["text"].alias("text")),
-        )
-
-    labelled = [label(kind, g) for kind, g in groups]
-    return F.concat(*labelled)
+        needs = f"contains({text}, '@')" if kind == "email" else f"regexp_like({text}, {sql_text(PATTERNS[kind])})"
+        groups.append((kind, f"if({needs}, {found}, CAST(array() AS array<{SPAN}>))"))
+    groups += [("custom", spans_sql(text, p)) for p in custom or []]
+    label = "transform({g}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{k}', 'text', s.text))"
+    return F.expr(f"concat({', '.join(label.format(g=g, k=k) for k, g in groups)})")
 
 
 def check_custom(df: DataFrame, custom: list[str]) -> None:
@@ -103,8 +93,8 @@ def find_patterns(
 ) -> DataFrame:
     """Add the resolved hits of each text as an array; a null text gives an empty array."""
     check_custom(df, custom or [])
-    raw = df.withColumn("_raw", pattern_hits(F.col(text), kinds, custom))
-    return raw.withColumn(out, resolve_overlaps(F.col("_raw"))).drop("_raw")
+    raw = df.withColumn("_raw", pattern_hits(text, kinds, custom))
+    return raw.withColumn(out, resolve_overlaps("_raw")).drop("_raw")
 
 
 def explode_hits(df: DataFrame, keep: list[str], hits: str = "hits") -> DataFrame:
@@ -128,33 +118,27 @@ def confirmed_hits(hits: DataFrame, decisions: DataFrame, keys: list[str]) -> Da
     return hits.join(decisions, keys, "left").filter(F.coalesce(F.col("confirmed"), F.lit(False))).drop("confirmed")
 
 
-def redacted(text: Column, hits: Column) -> Column:
-    """The text without the hit spans (sorted, disjoint): the pieces between them, joined."""
-    cuts = F.transform(
-        hits,
-        lambda h, i: F.substring(
-            text, F.when(i == 0, 0).otherwise(F.get(hits, i - 1)["end"]) + 1,
-            h["start"] - F.when(i == 0, 0).otherwise(F.get(hits, i - 1)["end"]),
-        ),
-    )
-    tail = F.substring(text, F.element_at(hits, -1)["end"] + 1, F.length(text))
-    few = F.concat(F.array_join(cuts, ""), tail)
-
-    # Each substring counts characters from the start of the text; with many hits the text is
-    # cut into characters once instead, and slices of that are joined.
-    def by_slices(chars: Column) -> Column:
-        before = lambda i: F.when(i == 0, 0).otherwise(F.get(hits, i - 1)["end"])
-        kept = F.transform(hits, lambda h, i: F.slice(chars, before(i) + 1, h["start"] - before(i)))
-        last = F.element_at(hits, -1)["end"]
-        return F.concat(F.array_join(F.flatten(kept), ""), F.array_join(F.slice(chars, last + 1, F.size(chars) - last), ""))
+def redacted(text: str, hits: str) -> Column:
+    """The text without the hit spans (sorted, disjoint): the pieces between them, joined.
 
-    many = let(F.split(text, ""), by_slices)
-    return F.when(F.size(hits) == 0, text).when(F.size(hits) <= 64, few).otherwise(many)
+    A substring counts characters from the start of the text; with many hits the text is cut into
+    characters once instead, and slices of that are joined.
+    """
+    before = f"coalesce(get({hits}, i - 1).end, 0)"
+    few = (
+        f"concat(array_join(transform({hits}, (h, i) -> substring({text}, {before} + 1, h.start - {before})), ''), "
+        f"substring({text}, element_at({hits}, -1).end + 1, length({text})))"
+    )
+    many = (
+        f"transform(array(split({text}, '')), c -> array_join(concat(flatten(transform({hits}, (h, i) -> slice(c, {before} + 1, h.start - {before}))), "
+        f"slice(c, element_at({hits}, -1).end + 1, size(c))), ''))[0]"
+    )
+    return F.expr(f"CASE WHEN size({hits}) = 0 THEN {text} WHEN size({hits}) <= 64 THEN {few} ELSE {many} END")
 
 
 def redact_text(df: DataFrame, text: str = "text", hits: str = "hits") -> DataFrame:
     """Add ``redacted`` and ``removed`` (how many spans went)."""
-    return df.withColumn("redacted", redacted(F.col(text), F.col(hits))).withColumn("removed", F.size(hits).cast("long"))
+    return df.withColumn("redacted", redacted(text, hits)).withColumn("removed", F.size(hits).cast("long"))
 
 
 def confirm_removed(texts: DataFrame, needles: DataFrame, keys: list[str], text: str) -> DataFrame:

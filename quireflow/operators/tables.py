@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import each, fold_collect
+from ..functions.folds import each
 from .layout import PAGE, join_pieces, paragraph_breaks, paragraphs, reading_lines
 
 TOLERANCE = 2.0
@@ -33,14 +33,10 @@ def usable_rules(rules: DataFrame, minimum: float = MIN_RULE) -> DataFrame:
     return rules.filter(F.abs(F.col("hi") - F.col("lo")) >= minimum)
 
 
-def cluster_positions(positions: Column, tol: float = TOLERANCE) -> Column:
+def cluster_positions(positions: str, tol: float = TOLERANCE) -> Column:
     """Sorted positions; one within ``tol`` of the last *kept* position folds into it."""
-
-    def step(last: Column, p: Column) -> tuple[Column, Column]:
-        new = last.isNull() | (F.abs(p - last) > tol)
-        return F.when(new, p).otherwise(last), F.when(new, p)
-
-    return fold_collect(F.sort_array(positions), F.lit(None).cast("double"), "double", "double", step)
+    near = f"size(a) > 0 AND abs(x - element_at(a, -1)) <= {tol}D"
+    return F.expr(f"aggregate(sort_array({positions}), CAST(array() AS array<double>), (a, x) -> if({near}, a, concat(a, array(x))))")
 
 
 def group_rules(rules: DataFrame) -> DataFrame:
@@ -61,7 +57,7 @@ def detect_tables(rules: DataFrame) -> DataFrame:
     groups = (
         group_rules(kept).groupBy(*PAGE, "group_no")
         .agg(F.collect_list("position").alias("_x"), F.min("_s").alias("_top"), F.max("_e").alias("_bottom"))
-        .withColumn("columns", cluster_positions(F.col("_x"))).filter("size(columns) >= 3")
+        .withColumn("columns", cluster_positions("_x")).filter("size(columns) >= 3")
         .withColumns({"_l": F.element_at("columns", 1), "_r": F.element_at("columns", -1)}).filter("_r > _l")
     )
     lines = kept.filter("horizontal").select(*PAGE, F.col("position").alias("_y"), F.least("lo", "hi").alias("_from"), F.greatest("lo", "hi").alias("_to"))
@@ -71,7 +67,7 @@ def detect_tables(rules: DataFrame) -> DataFrame:
     )
     found = (
         across.groupBy(*PAGE, "group_no").agg(F.first("columns").alias("columns"), F.collect_list("_y").alias("_ys"))
-        .withColumn("rows", cluster_positions(F.col("_ys"))).filter("size(rows) >= 3")
+        .withColumn("rows", cluster_positions("_ys")).filter("size(rows) >= 3")
     )
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("group_no")) - 1
     return found.select(*PAGE, number.cast("long").alias("table_no"), "columns", "rows")

@@ -220,7 +220,7 @@ def redact_report(v):
 @query("match_boxes", "D8", """
     SELECT doc_id, page_no, run_no, "left" + 6 * (strpos(text, 'qu') - 1) AS x0, top AS y0, "left" + 6 * (strpos(text, 'qu') + 1) AS x1, bottom AS y1 FROM runs WHERE contains(text, 'qu')""", "runs")
 def match_boxes(v):
-    hit = v.runs().filter(F.contains("text", F.lit("qu"))).withColumn("_s", F.get(spans(F.col("text"), "qu"), F.lit(0)))
+    hit = v.runs().filter(F.contains("text", F.lit("qu"))).withColumn("_s", F.get(spans("text", "qu"), F.lit(0)))
     return hit.withColumn("_b", D.sub_rect(F.col("_s.start"), F.col("_s.end"))).select("doc_id", "page_no", "run_no", "_b.x0", "_b.y0", "_b.x1", "_b.y1")
 
 

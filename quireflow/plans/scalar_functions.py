@@ -76,10 +76,12 @@ def winansi_fits(v):
 @query("clean_lines", "F14", """
     SELECT doc_id, w[1] || repeat(' ', (8 - length(w[1]) % 8)::INT) || 'x' || repeat(' ', 7) || 'y' AS line FROM (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents)""")
 def clean_lines(v):
-    from ..operators.paginate import clean_line
+    from ..operators.paginate import clean_line_sql
 
     first = F.element_at(F.split(F.element_at(F.split("text", "\n", 2), 1), " ", 2), 1)
-    return v.table("documents", "doc_id", "text").select("doc_id", clean_line(F.concat(first, F.lit("\t\u0007x\ty"))).alias("line"))
+    return v.table("documents", "doc_id", "text").select("doc_id", F.concat(first, F.lit("\t\u0007x\ty")).alias("t")).select(
+        "doc_id", F.expr(clean_line_sql("t")).alias("line")
+    )
 
 
 _NAMES = ["ABCDEF+Calibri-Light", "Arial-BoldItalicMT", "TimesNewRomanPS-BoldMT", "Bold", "Menlo Regular", "Garamond Semibold", "Consolas-BoldItalic", "BoldMT"]

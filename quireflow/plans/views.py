@@ -37,13 +37,10 @@ class Views:
 
     # pages and layout ------------------------------------------------------------
     def sheets(self) -> DataFrame:
-        two = F.col("doc_id") % 2 == 1
         return paginate_text(
             self.table("documents", "doc_id", "text", "lang", "source"),
-            "text",
-            F.when(two, F.lit(36)).otherwise(F.lit(80)),
-            F.when(two, F.lit(100)).otherwise(F.lit(50)),
-        )
+            "text", "if(doc_id % 2 = 1, 36, 80)", "if(doc_id % 2 = 1, 100, 50)",
+        )
 
     def doc_pages(self) -> DataFrame:
         wide = F.col("doc_id") % 3 == 0

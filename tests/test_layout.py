@@ -144,7 +144,7 @@ def test_a_centre_on_a_shared_edge_is_in_both_cells(spark):
 
 def test_cluster_keeps_the_first(spark):
     df = spark.createDataFrame([([5.0, 1.0, 2.5, 3.5, 6.0],)], "p array<double>")
-    assert df.select(T.cluster_positions(F.col("p")).alias("c")).first()["c"] == [1.0, 3.5, 6.0]
+    assert df.select(T.cluster_positions("p").alias("c")).first()["c"] == [1.0, 3.5, 6.0]
 
 
 def test_numbers_in_cells(spark):

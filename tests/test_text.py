@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quireflow.functions.spans import literal_pattern, spans
 from quireflow.operators import search as S
-from quireflow.operators.paginate import clean_line, text_pages, wrap_line
+from quireflow.operators.paginate import clean_line_sql, text_pages_sql, wrap_line_sql
 
 
 def one(spark, col, **values):
@@ -25,7 +25,7 @@ def test_spans_match_python_for_many_texts(spark):
     rng = random.Random(7)
     texts = ["".join(rng.choice("ab 1é\n") for _ in range(rng.randrange(0, 1500))) for _ in range(40)] + ["", "aaa"]
     for pattern in ("a", "ab+", "[0-9]+", "[^ ]+"):
-        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", spans(F.col("t"), pattern).alias("s")).collect()
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", spans("t", pattern).alias("s")).collect()
         for r in rows:
             want = [(m.start(), m.end(), m.group()) for m in re.finditer(pattern, texts[r.i])]
             assert [(s.start, s.end, s.text) for s in r.s] == want
@@ -37,7 +37,7 @@ def test_spans_do_not_find_an_earlier_non_match(spark):
 
 
 def test_null_text_has_no_spans(spark):
-    assert one(spark, F.size(spans(F.col("t"), "a")), t=None) == 0
+    assert one(spark, F.size(spans("t", "a")), t=None) == 0
 
 
 @pytest.mark.parametrize(
@@ -78,7 +78,7 @@ def test_overlaps_against_brute_force(spark):
     for g in range(30):
         items = [(s := rng.randrange(60), s + rng.randrange(1, 15)) for _ in range(rng.randrange(0, 40))]
         groups.append((g, [(s, e, "k", "") for s, e in items]))
-    df = spark.createDataFrame(groups, f"g int, h array<{S.HIT}>").select("g", S.resolve_overlaps(F.col("h")).alias("r"))
+    df = spark.createDataFrame(groups, f"g int, h array<{S.HIT}>").select("g", S.resolve_overlaps("h").alias("r"))
     for row in df.collect():
         last, want = -1, []
         for s, e in sorted([h[:2] for h in groups[row.g][1]], key=lambda x: (x[0], -(x[1] - x[0]))):
@@ -155,16 +155,16 @@ def test_wrap_against_brute_force(spark):
     rng = random.Random(11)
     lines = ["".join(rng.choice("aab  c漢字") if rng.random() < 0.9 else "x" * rng.randrange(30) for _ in range(rng.randrange(90))) for _ in range(300)]
     lines += ["", " " * 30, "   " + "x" * 50, "a" * 12, "a" * 13, "aaa bbb ccc dd e f"]
-    rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string").select("i", wrap_line(F.col("t"), F.lit(12)).alias("w")).collect()
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, t string").select("i", F.expr(wrap_line_sql("t", "12")).alias("w")).collect()
     for r in rows:
         assert r.w == reference_wrap(lines[r.i], 12), lines[r.i]
 
 
 def test_pages(spark):
-    pages = lambda t, n=2: one(spark, text_pages(F.col("t"), F.lit(10), F.lit(n)), t=t)
+    pages = lambda t, n=2: one(spark, F.expr(text_pages_sql("t", "10", str(n))), t=t)
     assert pages("a\r\nb\rc\n") == [["a", "b"], ["c"]]
     assert pages("a\fb\f") == [["a"], ["b"]]
     assert pages("") == []
     assert pages("a\n\n\n\n\n") == [["a", ""]]
     assert pages("\n\na") == [["", ""], ["a"]]
-    assert one(spark, clean_line(F.col("t")), t="ab\tc\u0085\x01\t\td") == "ab      c               d"
+    assert one(spark, F.expr(clean_line_sql("t")), t="ab\tc\u0085\x01\t\td") == "ab      c               d"
