@@ -28,13 +28,32 @@ def autosave_ticks(events: DataFrame, every: str = "30 seconds") -> DataFrame:
 
 
 def debounce(events: DataFrame, gap: str) -> DataFrame:
-    """Once a document has been quiet for ``gap``: its last event and how many came before it."""
+    """Once a document has been quiet for ``gap``: its last event and how many came before it.
+
+    A stream keeps one open session per document. A batch finds the quiet spots with running values
+    over blocks of an hour, so a document with most of the events is not sorted in one task.
+    """
+    if not events.isStreaming:
+        return _quiet_spells(events, gap)
     g = _late(events).groupBy("doc_id", F.session_window("ts", gap)).agg(
         F.max(F.struct("ts", "event_id")).alias("_last"), F.count(F.lit(1)).alias("changes")
     )
     return g.select("doc_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("settled"), F.col("_last.event_id").alias("event_id"), "changes")
 
 
+def _quiet_spells(events: DataFrame, gap: str) -> DataFrame:
+    block, order = block_of(F.unix_seconds("ts"), 3600), [F.col("ts"), F.col("event_id")]
+    slim = events.select("doc_id", "ts", "event_id")
+    seen = running(slim, ["doc_id"], block, order, {"_prev": ("max", F.col("ts"))}, inclusive=False)
+    starts = F.expr(f"_prev IS NULL OR ts >= _prev + INTERVAL {gap}").cast("long")
+    spells = running(seen, ["doc_id"], block, order, {"_spell": ("sum", starts)})
+    g = spells.groupBy("doc_id", "_spell").agg(
+        F.min("ts").alias("started"), F.max(F.struct("ts", "event_id")).alias("_last"), F.count(F.lit(1)).alias("changes")
+    )
+    settled = F.col("_last.ts") + F.expr(f"INTERVAL {gap}")
+    return g.select("doc_id", "started", settled.alias("settled"), F.col("_last.event_id").alias("event_id"), "changes")
+
+
 def open_documents(doc_events: DataFrame) -> DataFrame:
     """Documents whose latest event is ``opened``; closing twice changes nothing."""
     g = doc_events.groupBy("doc_id").agg(F.max(F.struct("ts", "event_id", "kind")).alias("_l"))
