@@ -102,6 +102,11 @@ def lines_of(v):
     return L.reading_lines(plain_runs(v))
 
 
+def text_lines_of(v):
+    """Lines carrying text only: what a line does not need never enters its array."""
+    return L.reading_lines(plain_runs(v).drop("size", "bold", "italic"))
+
+
 def styled_lines(v, lines):
     return L.paragraph_breaks(L.heading_level(lines, L.size_stats(v.runs())))
 
@@ -140,7 +145,7 @@ def text_columns(v):
     SELECT doc_id, page_no, column_no, line_no, count(*) AS runs, string_agg(run_no, ',' ORDER BY seq) AS ids FROM ordered GROUP BY ALL""", "ordered")
 def text_lines(v):
     ids = F.array_join(F.col("pieces.run_no").cast("array<string>"), ",")
-    return lines_of(v).select("doc_id", "page_no", "column_no", "line_no", F.size("pieces").cast("long").alias("runs"), ids.alias("ids"))
+    return text_lines_of(v).select("doc_id", "page_no", "column_no", "line_no", F.size("pieces").cast("long").alias("runs"), ids.alias("ids"))
 
 
 SQL_VIEWS["page_text"] = (("ordered",), """
@@ -150,7 +155,7 @@ SQL_VIEWS["page_text"] = (("ordered",), """
 
 @query("page_text", "T6", "SELECT doc_id, page_no, sha256(text) AS digest, length(text) AS chars FROM page_text", "page_text")
 def page_text(v):
-    t = L.page_text(lines_of(v))
+    t = L.page_text(text_lines_of(v))
     return t.select("doc_id", "page_no", F.sha2("text", 256).alias("digest"), F.length("text").cast("long").alias("chars"))
 
 
@@ -160,13 +165,13 @@ def page_text(v):
       SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY page_no) OVER (PARTITION BY doc_id) AS text FROM p) GROUP BY doc_id, text""",
        "doc_pages page_text")
 def document_text(v):
-    t = v.page_keys().select("doc_id", "page_no").join(L.page_text(lines_of(v)), L.PAGE, "left")
+    t = v.page_keys().select("doc_id", "page_no").join(L.page_text(text_lines_of(v)), L.PAGE, "left")
     d = L.document_text(t.withColumn("text", F.coalesce("text", F.lit(""))))
     return d.select("doc_id", "pages", F.sha2("text", 256).alias("digest"), "characters")
 
 
 def _page_texts(v):
-    t = v.page_keys().select("doc_id", "page_no").join(L.page_text(lines_of(v)), L.PAGE, "left")
+    t = v.page_keys().select("doc_id", "page_no").join(L.page_text(text_lines_of(v)), L.PAGE, "left")
     return t.withColumn("text", F.coalesce("text", F.lit("")))
 
 
