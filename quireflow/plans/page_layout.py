@@ -127,10 +127,9 @@ def blocks(v):
         CASE rotate WHEN 90 THEN width - bottom WHEN 180 THEN width - "right" WHEN 270 THEN bottom ELSE "right" END AS bx,
         CASE rotate WHEN 90 THEN height - "left" WHEN 180 THEN top WHEN 270 THEN "left" ELSE height - top END AS ay,
         CASE rotate WHEN 90 THEN height - "right" WHEN 180 THEN bottom WHEN 270 THEN "right" ELSE height - bottom END AS by_
-      FROM runs JOIN doc_pages USING (doc_id, page_no)) WHERE run_no % 1000 = 0""", "runs doc_pages")
+      FROM runs JOIN doc_pages USING (doc_id, page_no))""", "runs doc_pages")
 def visual_boxes(v):
-    out = L.to_visual(v.runs(), v.page_keys()).select("doc_id", "page_no", "run_no", "left", "right", "top", "bottom")
-    return out.filter("run_no % 1000 = 0")
+    return L.to_visual(v.runs(), v.page_keys()).select("doc_id", "page_no", "run_no", "left", "right", "top", "bottom")
 
 
 @query("text_columns", "W7", """
@@ -184,12 +183,11 @@ def document_text_parts(v):
 
 
 @query("text_summary", "K2", """
-    SELECT doc_id, count(*) AS pages, CAST(sum(length(coalesce(t.text, ''))) + count(*) - 1 AS BIGINT) AS characters FROM doc_pages LEFT JOIN page_text t USING (doc_id, page_no)
-    GROUP BY doc_id HAVING count(*) = count(t.text)""", "doc_pages page_text")
+    SELECT doc_id, count(*) AS pages, CAST(sum(n + CASE WHEN page_no > first_page THEN 1 ELSE 0 END) AS BIGINT) AS characters FROM (
+      SELECT doc_id, page_no, length(coalesce(t.text, '')) AS n, min(CASE WHEN t.text <> '' THEN page_no END) OVER (PARTITION BY doc_id) AS first_page
+      FROM doc_pages LEFT JOIN page_text t USING (doc_id, page_no)) GROUP BY doc_id""", "doc_pages page_text")
 def text_summary(v):
-    full = _page_texts(v)
-    blank = full.filter("text = ''").select("doc_id").distinct()
-    return L.text_summary(L.document_text_parts(full)).join(blank, "doc_id", "left_anti")
+    return L.text_summary(L.document_text_parts(_page_texts(v)))
 
 
 @query("body_size", "A2", "SELECT doc_id, body FROM body", "body")

@@ -53,11 +53,11 @@ def decode_text(v):
 
 
 @query("decode_html", "S3", """
-    SELECT page_id, sha256(CASE page_id % 3 WHEN 1 THEN replace(html, 'charset="utf-8"', 'charset="latin1"') ELSE html END) AS digest FROM pages WHERE NOT regexp_matches(html, '[^\\x00-\\xFF]')""")
+    SELECT page_id, sha256(CASE WHEN page_id % 3 = 1 AND NOT regexp_matches(html, '[^\\x00-\\xFF]') THEN replace(html, 'charset="utf-8"', 'charset="latin1"') ELSE html END) AS digest FROM pages""")
 def decode_html(v):
-    h = v.table("pages", "page_id", "html").filter(~F.rlike("html", F.lit(r"[^\x00-\xFF]")))
+    h = v.table("pages", "page_id", "html")
     latin = F.encode(F.replace("html", F.lit('charset="utf-8"'), F.lit('charset="latin1"')), "ISO-8859-1")
-    h = h.select("page_id", F.concat(F.lit("p"), "page_id").alias("label"), F.when(F.col("page_id") % 3 == 1, latin).otherwise(F.encode("html", "UTF-8")).alias("content"))
+    h = h.select("page_id", F.concat(F.lit("p"), "page_id").alias("label"), F.when((F.col("page_id") % 3 == 1) & ~F.rlike("html", F.lit(r"[^\x00-\xFF]")), latin).otherwise(F.encode("html", "UTF-8")).alias("content"))
     return files.decode_html(h).select("page_id", F.sha2("text", 256).alias("digest"))
 
 
