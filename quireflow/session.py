@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +23,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; only local test sessions get their own."""
+    """The shared folder named by the session; only a single-process session that names none gets its own."""
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="spark-quireflow-")
     spark.sparkContext.setCheckpointDir(shared)
