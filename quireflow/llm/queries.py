@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import byte_bpe, exact_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,16 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _tokenizer() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = _tokenizer()
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, pattern)
+    return byte_bpe.digests(byte_bpe.decode(encoded, path, pattern))
