@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, simhash
+from . import byte_bpe, exact_dedup, html_extract, language_id, simhash
+from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +58,16 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = _tokenizer()
     encoded = byte_bpe.encode(table(spark, folder, "documents"), path, pattern)
     return byte_bpe.digests(byte_bpe.decode(encoded, path, pattern))
+
+
+@query("op8_html_extract")
+def op8_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_extract.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
