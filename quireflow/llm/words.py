@@ -18,12 +18,16 @@ WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 
 @dataclass
 class Words:
-    """``doc[i]`` is the number of word i's text, ``start[i]`` and ``end[i]`` its bytes in it, ``hash[i]`` its content."""
+    """``doc[i]`` is the number of word i's text, ``start[i]`` and ``end[i]`` its bytes in it, ``hash[i]`` its content.
+
+    ``prefix[k][i]`` is the hash of its first bytes, as many as asked for, equal to the hash of a word of those bytes alone.
+    """
 
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    prefix: list[np.ndarray]
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -39,17 +43,17 @@ def _powers(n: int) -> np.ndarray:
     return np.r_[np.uint64(1), np.cumprod(np.full(max(n - 1, 0), BASE))]
 
 
-def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cut(data: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     inside = WORD_BYTES[data]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return starts, ends, np.empty(0, np.uint64)
+        return starts, ends, [np.empty(0, np.uint64)] * (1 + len(prefixes))
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
     at = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
     values = (data[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max()))[at]
-    return starts, ends, mix(np.add.reduceat(values, first))
+    return starts, ends, [mix(np.add.reduceat(values if n is None else values * (at < n), first)) for n in (None, *prefixes)]
 
 
 def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -66,17 +70,19 @@ def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield at, data[at:]
 
 
-def cut_words(texts: list[bytes]) -> Words:
+def cut_words(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> Words:
     """The words of all texts, in order."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    parts = [(at, *_cut(piece)) for at, piece in _pieces(data)]
-    start = np.concatenate([at + s for at, s, _, _ in parts]) if parts else np.empty(0, np.int64)
-    end = np.concatenate([at + e for at, _, e, _ in parts]) if parts else np.empty(0, np.int64)
-    h = np.concatenate([p[3] for p in parts]) if parts else np.empty(0, np.uint64)
+    parts = [(at, *_cut(piece, prefixes)) for at, piece in _pieces(data)]
+    start = np.concatenate([at + s for at, s, *_ in parts])
+    end = np.concatenate([at + e for at, _, e, _ in parts])
+    hashes = [np.concatenate([p[3][k] for p in parts]) for k in range(1 + len(prefixes))]
+    if not len(start):
+        return Words(start, start, end, hashes[0], hashes[1:])
     doc = np.searchsorted(begins, start, "right") - 1
-    return Words(doc, start - begins[doc] if len(doc) else start, end - begins[doc] if len(doc) else end, h)
+    return Words(doc, start - begins[doc], end - begins[doc], hashes[0], hashes[1:])
 
 
 def lowered(text: str | None) -> str:
