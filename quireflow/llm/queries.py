@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, language_id, simhash, toxicity
+from . import byte_bpe, exact_dedup, html_extract, language_id, simhash, toxicity, url_filter
 from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.assess(docs, toxicity.fit(docs, table(spark, folder, "labels")))
     spans = F.concat_ws(",", F.transform("offending", lambda s: F.concat_ws(":", s["start"], s["end"])))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("offending"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op5_url_filter")
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), URL_RULES, url_filter.fit(spark))
