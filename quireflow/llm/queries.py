@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, language_id, simhash, toxicity, url_filter
+from . import byte_bpe, exact_dedup, html_extract, language_id, secrets, simhash, toxicity, url_filter
 from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,12 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 @query("op5_url_filter")
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), URL_RULES, url_filter.fit(spark))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    counts = [secrets.kind_count(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    digest = F.sha2(secrets.span_texts(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    spans = secrets.span_texts(F.concat("base", "random")).alias("spans")
+    return found.select("doc_id", *counts, digest, spans)
