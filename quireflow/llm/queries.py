@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_extract, language_id, secrets, simhash, toxicity, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, secrets, simhash, toxicity, url_filter
 from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.sha2(secrets.span_texts(F.col("base")).cast("binary"), 256).alias("base_sha256")
     spans = secrets.span_texts(F.concat("base", "random")).alias("spans")
     return found.select("doc_id", *counts, digest, spans)
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
