@@ -254,7 +254,7 @@ def common_subsequence(pattern: list[int], text: list[int]) -> int:
 class Search:
     items: list[Item]
     groups: list[Group]
-    cosine: float = 0.5
+    cosine: float = 0.25  # a passage may hold several items; the short ones among them have small cosines
     whole: float = 0.8
     part: float = 0.6
     answer: float = 0.8
