@@ -11,14 +11,16 @@ import base64
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 512
 CACHED_WORDS = 400_000
 UNKNOWN = "␀"  # stands for no byte
 
@@ -80,23 +82,27 @@ class Codec:
         self.engine = sentencepiece.SentencePieceProcessor(model_proto=model_proto(vocabulary))
         self.seen: dict[str, list[int]] = {}
 
-    def _word(self, word: str) -> list[int]:
-        data = word.encode()
-        ids = self.whole.get(data)
-        if ids is None:
-            ids = [i - 1 for i in self.engine.encode(data.decode("latin-1").translate(self.chars))]
-        if len(word) <= 64:
-            if len(self.seen) >= CACHED_WORDS:
-                self.seen.clear()
-            self.seen[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known, word = self.seen.get, self._word
-        for w in self.pattern.findall(text or ""):
-            out += known(w) or word(w)
-        return out
+    def _learn(self, words: set[str]) -> None:
+        """Encode words not met before, all in one call of the engine; at most ``CACHED_WORDS`` and one batch are remembered."""
+        if len(self.seen) > CACHED_WORDS:
+            self.seen.clear()
+        new = list(words.difference(self.seen))
+        data = [w.encode() for w in new]
+        rest = []
+        for w, d in zip(new, data, strict=True):
+            ids = self.whole.get(d)
+            if ids is None:
+                rest.append((w, d.decode("latin-1").translate(self.chars)))
+            else:
+                self.seen[w] = ids
+        for (w, _), pieces in zip(rest, self.engine.encode([x for _, x in rest], num_threads=1), strict=True):
+            self.seen[w] = [i - 1 for i in pieces]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        cut = [self.pattern.findall(t or "") for t in texts]
+        self._learn(set().union(*cut))
+        known = self.seen.__getitem__
+        return [list(chain.from_iterable(map(known, words))) for words in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -124,8 +130,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def columns(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = list(map(codec(path, pattern).encode, part.column(1).to_pylist()))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        ids = codec(path, pattern).encode(part.column(1).to_pylist())
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_in_batches(columns), "doc_id long, ids array<int>")
@@ -135,16 +144,20 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids, decoded)``: the bytes that the ids stand for; null ids count as none."""
 
     def columns(part: pa.RecordBatch) -> pa.RecordBatch:
-        data = [codec(path, pattern).decode(ids or ()) for ids in part.column(1).to_pylist()]
+        lists = part.column(1)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+        sizes = np.asarray(lists.value_lengths().fill_null(0))
+        ends = np.cumsum(sizes)
+        data = [codec(path, pattern).decode(flat[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(_in_batches(columns), "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of decoded rows."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of decoded rows, and the columns named in ``more``."""
     ids = F.coalesce("ids", F.array().cast("array<int>"))
     listed = F.concat_ws(",", ids.cast("array<string>"))
     return decoded.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more
     )

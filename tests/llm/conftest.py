@@ -1,5 +1,10 @@
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture
 def docs(spark):
@@ -11,7 +16,3 @@ def docs(spark):
 
     return make
 
-
-def write(spark, folder, name, rows, schema):
-    spark.createDataFrame(rows, schema).coalesce(2).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    return str(folder)
