@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, secrets, simhash, toxicity, url_filter
+from . import (
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    language_id,
+    secrets,
+    simhash,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 from .samples import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +112,10 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_decontaminate")
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.classes(table(spark, folder, "documents"))
+    spans = F.transform("repeats", lambda s: F.concat_ws(":", s["start"], s["end"], s["of"]))
+    return found.select("doc_id", "class_id", "n_links", F.array_join(spans, ",").alias("repeats"))
