@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
@@ -139,6 +140,37 @@ def html_table_cells(v):
     return html.html_table_cells(v.table("customer", "c_custkey", "c_name").select(F.col("c_custkey").alias("page_id"), doc.alias("html"))).drop("table_no")
 
 
+@query("html_mixed_blocks", "S5", """
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block_no, kind, level::BIGINT AS level, marker, text, src FROM (
+      SELECT page_id, i, kind, level, marker, replace(text, '@', url) AS text, src FROM pages, (VALUES
+        (0, 'paragraph', NULL, NULL, 'A before @', NULL), (1, 'paragraph', 2, NULL, 'after @', NULL), (2, 'paragraph', NULL, '7.', 'seven', NULL), (3, 'paragraph', NULL, '8.', 'eight' || chr(10) || 'more', NULL),
+        (4, 'image', NULL, NULL, 'alt', 'x.png'), (5, 'rule', NULL, NULL, '', NULL), (6, 'paragraph', NULL, NULL, 'end ' || chr(65533), NULL)) x(i, kind, level, marker, text, src)
+      WHERE url NOT LIKE '%&%')""")
+def html_mixed_blocks(v):
+    p = v.table("pages", "page_id", "url").filter(~F.contains("url", F.lit("&")))
+    doc = F.concat(
+        F.lit('<svg/><p>&#x0000000041; before '), "url", F.lit('<math/></p><svg><text>gone</text></svg><h2>after '), "url",
+        F.lit('<svg viewBox="0 0 1 1"/></h2><ol start=7><li>seven<svg/></li><li>eight<br>more</ol><img src="x.png" alt="alt"><hr><div>end &#99999999999;</div>'),
+    )
+    b, _ = html.parse_html(p.select("page_id", doc.alias("html")))
+    no = F.row_number().over(Window.partitionBy("page_id").orderBy("block_no")) - 1
+    return b.select("page_id", no.cast("long").alias("block_no"), "kind", "level", "marker", "text", "src")
+
+
+@query("html_ragged_tables", "S9", """
+    SELECT page_id, r::BIGINT AS row_no, c::BIGINT AS col_no, s::BIGINT AS colspan, merge, h AS header, replace(t, '@', url) AS text FROM pages,
+      (VALUES (0,0,1,'start',true,'@'),(0,1,1000,'none',true,'wide'),(1,0,1,'continue',true,''),(2,0,1,'start',false,'a'),(2,1,1,'none',false,'b'),(3,0,1,'continue',false,''),
+              (4,0,1,'none',false,'under'),(4,1,1,'start',false,'c'),(5,0,1,'none',false,'d'),(5,1,1,'continue',false,''),(6,1,1,'continue',false,'')) x(r, c, s, merge, h, t)
+    WHERE url NOT LIKE '%&%'""")
+def html_ragged_tables(v):
+    p = v.table("pages", "page_id", "url").filter(~F.contains("url", F.lit("&")))
+    doc = F.concat(
+        F.lit('<table><tbody><tr><td rowspan=2>a<td>b<tr></tr><tr><td>under<td rowspan=0>c<tr><td>d</tr><tr></tr></tbody><thead><tr><th rowspan="0002">'), "url",
+        F.lit('<th colspan=9999999999>wide</tr><tr></tr></thead></table>'),
+    )
+    return html.html_table_cells(p.select("page_id", doc.alias("html"))).drop("table_no")
+
+
 @query("html_resources", "S10 F12 F13", """
     SELECT page_id, seq::BIGINT AS seq, 'absolute' AS class, regexp_replace(href, '[#?].*$', '') AS path, NULL AS bytes FROM hrefs
     UNION ALL SELECT page_id, -1, 'remote', NULL, NULL FROM pages UNION ALL SELECT page_id, -2, 'data', NULL, url FROM pages

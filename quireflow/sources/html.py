@@ -74,12 +74,14 @@ def decode_entities(text: Column, every_name: bool = True) -> Column:
     table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
     def one(part: Column) -> Column:
-        ref = F.regexp_extract(part, r"^&(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        ref = F.regexp_extract(part, r"^&(#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);", 1)
 
         def put(r: Column) -> Column:
-            code = F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, F.lit(3), F.lit(8)), 16, 10)).otherwise(F.substring(r, F.lit(2), F.lit(8)))
+            digits = F.regexp_replace(r, "^#[xX]?0*", "")
+            # Without leading zeros no character has more than seven digits; longer ones are out of range.
+            code = F.when(F.length(digits) > 7, "-1").when(r.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
             n = code.try_cast("long")
-            ok = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+            ok = n.isNotNull() & (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
             char = F.translate(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"), _LATIN1_HIGH, CP1252_HIGH)
             named = F.when(r == "amp", "&").when(r == "lt", "<").when(r == "gt", ">").when(r == "quot", '"').otherwise(F.element_at(table, r))
             value = F.when(r.startswith("#"), F.when(ok, char).otherwise("\ufffd")).otherwise(named)
@@ -146,10 +148,13 @@ def live_tokens(tokens: DataFrame, key: str = "page_id") -> tuple[DataFrame, Dat
     gone = [*DROPPED, *EMBEDDED, *FORMS]
     # An option ends where the next one or its list does, closed or not, so only the list counts.
     holds = F.col("tag").isin(*[t for t in gone if t not in (*VOID, "option", "optgroup")])
-    step = F.when(holds & (F.col("kind") == "start"), 1).when(holds & (F.col("kind") == "end"), -1).otherwise(0)
+    # Of the elements that hold content only svg and math can close themselves.
+    empty = F.col("tag").isin("svg", "math") & (F.right("raw", F.lit(2)) == "/>")
+    enters = holds & (F.col("kind") == "start") & ~empty
+    step = F.when(enters, 1).when(holds & (F.col("kind") == "end"), -1).otherwise(0)
     depth = F.sum(step).over(_so_far(_by_page(key)))
     t = tokens.withColumn("_in", depth)
-    opens = F.col("kind").isin("start", "raw") & (F.col("_in") - F.when(holds & (F.col("kind") == "start"), 1).otherwise(0) == 0)
+    opens = F.col("kind").isin("start", "raw") & (F.col("_in") - F.when(enters, 1).otherwise(0) == 0)
     what = F.when(F.col("tag").isin(*EMBEDDED), WARN_EMBEDDED).when(F.col("tag").isin(*FORMS), WARN_FORMS)
     warnings = t.filter(opens).select(key, what.alias("warning")).filter("warning IS NOT NULL")
     live = t.filter((F.col("_in") <= 0) & ~F.col("tag").isin(*gone) & (F.col("kind") != "raw"))
@@ -296,61 +301,71 @@ def html_table_cells(pages: DataFrame, key: str = "page_id", source: str = "html
     # A cell belongs to the row it starts in; the tag of the next row comes before its first cell.
     t = t.withColumns({"_sec": F.coalesce(section, F.lit("tbody")), "_r": row, "_cell": cell})
     opens = (kind == "start") & tag.isin("td", "th")
+    # Rows are numbered from their tags, with or without cells: head rows first, foot rows last.
+    place = F.when(F.col("_sec") == "thead", 0).when(F.col("_sec") == "tfoot", 2).otherwise(1)
+    rows = t.filter(opens | ((kind == "start") & (tag == "tr"))).groupBy(key, "table_no", F.col("_r").alias("_row")).agg(F.min(place).alias("_place"))
+    table = Window.partitionBy(key, "table_no")
+    rows = rows.select(
+        key, "table_no", "_row", (F.row_number().over(table.orderBy("_place", "_row")) - 1).alias("row"),
+        F.count(F.lit(1)).over(table).alias("n_rows"), F.count_if(F.col("_place") == 0).over(table).alias("n_head"),
+    )
     t = t.withColumn("_row", F.last(F.when(opens, F.col("_r")), ignorenulls=True).over(tw))
-    t = t.withColumn("_sec", F.last(F.when(opens, F.col("_sec")), ignorenulls=True).over(tw))
-    span = lambda n: F.when((kind == "start") & tag.isin("td", "th"), F.coalesce(F.regexp_extract(F.coalesce(attr(F.col("raw"), n), F.lit("")), "^[0-9]{1,9}$", 0).try_cast("int"), F.lit(1)))
+
+    def span(name: str) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(F.coalesce(attr(F.col("raw"), name), F.lit("")), "^[0-9]+$", 0), "^0+(?=[0-9])", "")
+        return F.when(opens, F.when(digits == "", 1).when(F.length(digits) > 6, 1_000_000).otherwise(digits.try_cast("int")))
+
     g = t.filter("_cell > 0").groupBy(key, "table_no", "_row", "_cell").agg(
-        F.max(span("colspan")).alias("colspan"), F.max(span("rowspan")).alias("rowspan"), F.min("_sec").alias("section"),
+        F.max(span("colspan")).alias("colspan"), F.max(span("rowspan")).alias("rowspan"),
         F.array_join(F.sort_array(F.collect_list(F.struct("tok_no", F.when(kind == "text", decode_entities(F.col("raw"))).when(tag == "br", _BR).otherwise("").alias("p"))))["p"], "").alias("_t"),
     )
-    ready = g.select(key, "table_no", "_row", "_cell", "colspan", "rowspan", "section", collapse_space(F.col("_t")).alias("text"))
+    ready = g.join(rows, [key, "table_no", "_row"]).withColumn("text", collapse_space(F.col("_t")))
     # One table is one row, so a batch of tables goes to Python at a time.
-    cells = F.sort_array(F.collect_list(F.struct("_row", "_cell", "colspan", "rowspan", "section", "text")))
-    placed = ready.groupBy(key, "table_no").agg(cells.alias("_c")).withColumn("_c", _place_cells(F.col("_c")))
+    cells = F.sort_array(F.collect_list(F.struct("row", "_cell", "colspan", "rowspan", "text")))
+    placed = ready.groupBy(key, "table_no").agg(cells.alias("_c"), F.max("n_rows").alias("_n"), F.max("n_head").alias("_h"))
+    placed = placed.withColumn("_c", _place_cells("_c", "_n", "_h"))
     return each(placed, [key, "table_no"], F.col("_c"), "c").select(key, "table_no", "c.*")
 
 
-_SECTION_ORDER = {"thead": 0, "tbody": 1, "tfoot": 2}
 _SLOT = "array<struct<row_no:bigint,col_no:bigint,colspan:bigint,merge:string,header:boolean,text:string>>"
+MAX_COLSPAN = 1000
 
 
-def _place_cells(tables: Column) -> Column:
-    def batch(cells: pd.Series) -> pd.Series:
-        return cells.map(_slots)
+def _place_cells(*columns: str) -> Column:
+    def batch(cells: pd.Series, rows: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series([_grid(*x) for x in zip(cells, rows, head, strict=True)])
 
-    return F.pandas_udf(batch, _SLOT)(tables)
+    return F.pandas_udf(batch, _SLOT)(*columns)
 
 
-def _slots(cells) -> list[tuple]:
-    """Walk one table's rows in display order, filling slots left to right."""
-    rows: dict[int, list] = {}
+def _grid(cells, n_rows: int, n_head: int) -> list[dict]:
+    """The slots of one table. ``hanging``: column intervals that reach down from above, with the last row they reach."""
+    by_row: dict[int, list] = {}
     for c in cells:
-        rows.setdefault(c["_row"], []).append(c)
-    shown = sorted(rows.values(), key=lambda r: (_SECTION_ORDER[r[0]["section"]], r[0]["_row"]))
-    covered: list[dict[int, tuple[int, int]]] = [{} for _ in shown]
-    out: list[tuple] = []
-
-    def skip(r: int, col: int, header: bool) -> int:
-        while col in covered[r]:
-            start, span = covered[r][col]
-            if start == col:
-                out.append((r, col, span, "continue", header, ""))
-            col += span if start == col else 1
-        return col
-
-    for r, row in enumerate(shown):
-        header, col, left = row[0]["section"] == "thead", 0, len(shown) - r
-        for cell in row:
-            col = skip(r, col, header)
-            wide = min(max(int(cell["colspan"]), 1), 1000)
-            tall = left if cell["rowspan"] == 0 else min(max(int(cell["rowspan"]), 1), left)
-            for below in range(r + 1, r + tall):
-                covered[below].update({c: (col, wide) for c in range(col, col + wide)})
-            out.append((r, col, wide, "start" if tall > 1 else "none", header, cell["text"]))
-            col += wide
-        skip(r, col, header)
-    names = ("row_no", "col_no", "colspan", "merge", "header", "text")
-    return [dict(zip(names, slot)) for slot in out]
+        by_row.setdefault(c["row"], []).append(c)
+    out: list[dict] = []
+    hanging: list[tuple[int, int, int]] = []
+    for row in range(n_rows):
+        hanging = sorted(h for h in hanging if h[2] >= row)
+        ahead, free, fresh = iter(hanging), 0, []
+        following = next(ahead, None)
+        for cell in [*by_row.get(row, ()), None]:
+            # Intervals that begin at or before the free column push it on; at the end of the row all that are left show.
+            while following and (cell is None or following[0] <= free):
+                begin, end, _ = following
+                if begin >= free:
+                    out.append({"row_no": row, "col_no": begin, "colspan": end - begin, "merge": "continue", "header": row < n_head, "text": ""})
+                free, following = max(free, end), next(ahead, None)
+            if cell is None:
+                break
+            width = min(max(int(cell["colspan"]), 1), MAX_COLSPAN)
+            last = n_rows - 1 if cell["rowspan"] == 0 else min(row + int(cell["rowspan"]), n_rows) - 1
+            if last > row:
+                fresh.append((free, free + width, last))
+            out.append({"row_no": row, "col_no": free, "colspan": width, "merge": "start" if last > row else "none", "header": row < n_head, "text": cell["text"]})
+            free += width
+        hanging += fresh
+    return out
 
 
 def html_resources(df: DataFrame, src: str = "src", limit: int = IMAGE_LIMIT) -> DataFrame:
