@@ -25,8 +25,8 @@ from .words import cut_words, groups_of, lowered
 
 ROWS_AT_ONCE = 256
 STRIDE = 64  # words; a passage is two strides long, a query passage at most one
-GROUP = 64  # query passages that share a latent space
-CORPUS_RANK = 32  # directions beside those of the items
+GROUP = 32  # query passages that share a latent space
+CORPUS_RANK = 16  # directions beside those of the items
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 2_000, 4_000_000  # of the benchmark, for one run over the documents
 SIEVE = 1 << 20
 
@@ -74,7 +74,7 @@ def read_items(rows: list[tuple[int | None, str | None]]) -> list[Item]:
     return items
 
 
-def group_items(items: list[Item], common: float = 0.05, reach: float = 0.5) -> list[Group]:
+def group_items(items: list[Item], common: float = 0.01, reach: float = 0.5) -> list[Group]:
     """Cut items into query passages of at most ``STRIDE`` words and those into groups.
 
     Words found in more than ``common`` of the items carry no topic and are left out, unless a passage would keep under five terms.
@@ -117,14 +117,19 @@ class Cells:
     ends: np.ndarray  # per document: number of words up to and with it
 
 
-def sieve_of(groups: list[Group]) -> np.ndarray:
-    sieve = np.zeros(SIEVE, bool)
-    for g in groups:
-        sieve[(g.terms & np.uint64(SIEVE - 1)).astype(np.int64)] = True
-    return sieve
+class Vocabulary:
+    """The terms of all groups in one sorted table; ``local[g]`` gives a term's place in group g, or -1."""
 
+    def __init__(self, groups: list[Group]):
+        self.terms = np.unique(np.concatenate([g.terms for g in groups]))
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[(self.terms & np.uint64(SIEVE - 1)).astype(np.int64)] = True
+        self.local = np.full((len(groups), len(self.terms)), -1, np.int32)
+        for own, g in zip(self.local, groups, strict=True):
+            own[np.searchsorted(self.terms, g.terms)] = np.arange(len(g.terms))
 
-def cut_cells(batch: list[bytes], sieve: np.ndarray) -> Cells:
+
+def cut_cells(batch: list[bytes], vocabulary: Vocabulary) -> Cells:
     words = cut_words(batch)
     sizes = np.bincount(words.doc, minlength=len(batch))
     ends = np.cumsum(sizes)
@@ -134,19 +139,27 @@ def cut_cells(batch: list[bytes], sieve: np.ndarray) -> Cells:
     cell = base[words.doc] + number // STRIDE
     doc = np.repeat(np.arange(len(batch)), cells)
     inner = np.arange(int(cells.sum())) - base[doc]
-    hit = sieve[(words.hash & np.uint64(SIEVE - 1)).astype(np.int64)]
+    hit = vocabulary.sieve[(words.hash & np.uint64(SIEVE - 1)).astype(np.int64)]
     return Cells(words.hash[hit], cell[hit], inner == cells[doc] - 1, doc, (ends - sizes)[doc] + inner * STRIDE, words.hash, ends)
 
 
-def passage_terms(cells: Cells, group: Group) -> tuple[np.ndarray, np.ndarray]:
-    """Different (passage, term) pairs, sorted; passage p holds stride p and the next one of its document."""
-    at = np.minimum(np.searchsorted(group.terms, cells.hash), len(group.terms) - 1)
-    real = group.terms[at] == cells.hash
-    term, cell = at[real], cells.cell[real]
-    before = (cell > 0) & ~cells.last[np.maximum(cell - 1, 0)]
-    n = len(group.terms)
-    pair = np.unique(np.concatenate([cell * n + term, (cell[before] - 1) * n + term[before]]))
-    return pair // n, pair % n
+def passage_terms(cells: Cells, vocabulary: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per group its different (passage, term) pairs, sorted; passage p holds stride p and the next one of its document."""
+    n = len(vocabulary.terms)
+    at = np.minimum(np.searchsorted(vocabulary.terms, cells.hash), n - 1)
+    real = vocabulary.terms[at] == cells.hash
+    # Stride by stride first: most words of a stride that are terms at all are so once.
+    single = np.unique(cells.cell[real] * n + at[real])
+    cell = single // n
+    before = single[(cell > 0) & ~cells.last[np.maximum(cell - 1, 0)]] - n
+    pair = np.unique(np.concatenate([single, before]))
+    passage, term = pair // n, pair % n
+    out = []
+    for local in vocabulary.local:
+        own = local[term]
+        keep = own >= 0
+        out.append((passage[keep], own[keep]))
+    return out
 
 
 def _row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,23 +183,30 @@ def sketch(docs: DataFrame, groups: list[Group], text_col: str) -> tuple[int, li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = shared.value
-        sieve, random = sieve_of(groups), [g.random() for g in groups]
+        vocabulary, random = Vocabulary(groups), [g.random() for g in groups]
         sums = {i: (np.zeros(len(g.terms), np.int64), np.zeros((len(g.terms), g.rank()))) for i, g in enumerate(groups)}
+        alone = [np.zeros(len(g.terms), np.int64) for g in groups]
         passages = 0
         for batch in batches:
             for _, texts in groups_of(batch.column(0).to_pylist()):
-                cells = cut_cells(texts, sieve)
+                cells = cut_cells(texts, vocabulary)
                 passages += len(cells.doc)
-                for i, g in enumerate(groups):
-                    passage, term = passage_terms(cells, g)
+                for i, (passage, term) in enumerate(passage_terms(cells, vocabulary)):
+                    count, y = sums[i]
+                    count += np.bincount(term, minlength=len(count))
+                    # A passage with one term adds that term's own row; only the others need products.
+                    many = np.bincount(passage)[passage] > 1
+                    alone[i] += np.bincount(term[~many], minlength=len(count))
+                    passage, term = passage[many], term[many]
                     if not len(passage):
                         continue
                     _, z = _row_sums(random[i][term], passage)
                     row = np.cumsum(np.diff(passage, prepend=passage[0]) > 0)
                     order = np.argsort(term, kind="stable")
-                    t, y = _row_sums(z[row[order]], term[order])
-                    sums[i][1][t] += y
-                    sums[i][0][:] += np.bincount(term, minlength=len(g.terms))
+                    t, part = _row_sums(z[row[order]], term[order])
+                    y[t] += part
+        for i, (_, y) in sums.items():
+            y += alone[i][:, None] * random[i]
         yield from frame(sums)
         if passages:
             empty = pa.array([[]], pa.list_(pa.float32()))
@@ -254,6 +274,7 @@ def common_subsequence(pattern: list[int], text: list[int]) -> int:
 class Search:
     items: list[Item]
     groups: list[Group]
+    reach: float = 0.5  # as in group_items
     cosine: float = 0.25  # a passage may hold several items; the short ones among them have small cosines
     whole: float = 0.8
     part: float = 0.6
@@ -262,20 +283,18 @@ class Search:
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """Per text the leaked items: position in ``items`` -> cosine, share of the item's words in common order, share of its answer."""
         out: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
-        sieve = sieve_of(self.groups)
+        vocabulary = Vocabulary(self.groups)
         for first, batch in groups_of(texts):
-            cells = cut_cells(batch, sieve)
-            for g in self.groups:
-                passage, term = passage_terms(cells, g)
-                if not len(passage):
-                    continue
-                sizes = np.bincount(passage, minlength=len(cells.doc))
-                keep = sizes[passage] >= g.least
+            cells = cut_cells(batch, vocabulary)
+            for g, (passage, term) in zip(self.groups, passage_terms(cells, vocabulary), strict=True):
+                keep = np.bincount(passage)[passage] >= g.least
                 if not keep.any():
                     continue
                 rows, z = _row_sums(g.space[term[keep]] * g.idf[term[keep], None].astype(np.float32), passage[keep])
                 near = (z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]) @ g.latent.T
-                for r, k in zip(*np.nonzero(near >= self.cosine), strict=True):
+                # A candidate must hold enough of the query's own terms for its words to pass the check.
+                _, held = _row_sums(g.queries.T[term[keep]], passage[keep])
+                for r, k in zip(*np.nonzero((near >= self.cosine) & (held >= self.reach * g.queries.sum(axis=1))), strict=True):
                     self._check(cells, int(rows[r]), g.owner[k], float(near[r, k]), out, first)
         return out
 
@@ -286,8 +305,11 @@ class Search:
         begin = max(int(cells.first_word[passage]) - size, int(cells.ends[doc - 1]) if doc else 0)
         end = min(int(cells.first_word[passage]) + 2 * STRIDE + size, int(cells.ends[doc]))
         region = cells.words[begin:end].tolist()
+        here = set(region)
+        if sum(w in here for w in known.words) < self.part * size:
+            return
         share = common_subsequence(known.words, region) / size
-        answer = len(known.answer.intersection(region)) / len(known.answer)
+        answer = len(known.answer & here) / len(known.answer)
         if share >= self.whole or (share >= self.part and answer >= self.answer):
             best = out[first + doc].get(item)
             if best is None or best[1] < share or (best[1] == share and best[0] < near):

@@ -51,7 +51,7 @@ def test_answers():
 
 def test_groups_hold_every_word_of_long_items():
     groups = D.group_items(D.read_items(ITEMS))
-    assert len(groups) == 2 and sum(len(g.queries) for g in groups) == 89 + 5
+    assert len(groups) == 3 and sum(len(g.queries) for g in groups) == 89 + 5
     assert all(g.queries.any(axis=1).all() for g in groups)
 
 
