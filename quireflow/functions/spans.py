@@ -27,13 +27,12 @@ def sql_text(value: str) -> str:
 _ADD = "(a, x) -> concat(a, array(element_at(a, -1) + length(x)))"
 _SUMS = f"aggregate({{x}}, array(0), {_ADD})"
 
-# Running lengths of the pieces ``p``, starting with 0. Appending copies the array, so a long one
-# is summed in blocks: local sums, block offsets, then both together; the copying stays bounded.
+# Running lengths of the pieces ``p``, starting with 0. Appending copies the array, so they are
+# summed in blocks: local sums, block offsets, then both together; the copying stays bounded.
 _ENDS = (
-    f"if(size(p) <= {_BLOCK}, {_SUMS.format(x='p')}, "
     f"transform(array(transform(sequence(0, CAST((size(p) - 1) div {_BLOCK} AS INT)), k -> {_SUMS.format(x=f'slice(p, k * {_BLOCK} + 1, {_BLOCK})')})), b -> "
     "transform(array(aggregate(b, array(0), (a, x) -> concat(a, array(element_at(a, -1) + element_at(x, -1))))), o -> "
-    f"concat(array(0), flatten(transform(b, (x, i) -> transform(slice(x, 2, {_BLOCK}), y -> y + o[i])))))[0])[0])"
+    f"concat(array(0), flatten(transform(b, (x, i) -> transform(slice(x, 2, {_BLOCK}), y -> y + o[i])))))[0])[0]"
 )
 
 

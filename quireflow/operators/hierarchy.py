@@ -15,6 +15,10 @@ from ..session import checkpointed
 from .scan import dense_index
 
 
+# Fixed value: levels of a qualified field name.
+NAME_LEVELS = 32
+
+
 def _jump(nodes: DataFrame) -> DataFrame:
     """One doubling round over ``(k, id, ptr, done)``; only open nodes are joined."""
     open_ = nodes.filter("NOT done")
@@ -56,30 +60,40 @@ def pointer_roots(df: DataFrame, key: str, node: str, parent: str) -> DataFrame:
     return out.select(F.col("k").alias(key), F.col("id").alias(node), F.col("ptr").alias("root"))
 
 
-def node_paths(df: DataFrame, key: str, node: str, parent: str, label: Column, levels: int = 32) -> DataFrame:
-    """``(key, node, path)``: labels from the root down to the node, at most ``levels`` of them."""
+def node_paths(df: DataFrame, key: str, node: str, parent: str, label: Column, levels: int | None = None) -> DataFrame:
+    """``(key, node, path)``: labels from the root down to the node; with ``levels``, the last so many of them.
+
+    Without ``levels`` the links must hold no cycle.
+    """
     n = df.select(F.col(key).alias("k"), F.col(node).alias("id"), F.col(parent).alias("up"), F.array(label).alias("path"))
     cur = checkpointed(n)
     covered = 1
-    while covered < levels and not cur.filter("up IS NOT NULL").isEmpty():
+    while (levels is None or covered < levels) and not cur.filter("up IS NOT NULL").isEmpty():
         above = cur.select("k", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         j = cur.join(above, ["k", "up"], "left")
         cur = checkpointed(j.select("k", "id", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.expr("filter(path, x -> false)")), "path").alias("path")))
         covered *= 2
-    return cur.select(F.col("k").alias(key), F.col("id").alias(node), F.slice("path", -levels, levels).alias("path") if covered > levels else F.col("path"))
+    path = F.col("path") if levels is None else F.slice("path", F.greatest(F.size("path") - levels, F.lit(0)) + 1, levels)
+    return cur.select(F.col("k").alias(key), F.col("id").alias(node), path.alias("path"))
 
 
 def qualified_names(fields: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, field_id, qualified)``: partial names joined by dots, empty ones skipped."""
-    paths = node_paths(fields, key, "field_id", "parent_id", F.col("t"))
+    """``(key, field_id, qualified)``: partial names joined by dots, empty ones skipped; a name has at most 32 levels, cycles or not."""
+    paths = node_paths(fields, key, "field_id", "parent_id", F.col("t"), NAME_LEVELS)
     return paths.select(key, "field_id", F.array_join(F.filter("path", lambda t: t.isNotNull() & (t != "")), ".").alias("qualified"))
 
 
 def outline_flatten(outline: DataFrame) -> DataFrame:
-    """Bookmarks in depth-first order: ``position`` from 0 and ``depth``; siblings by ``seq``."""
-    paths = node_paths(outline, "doc_id", "node_id", "parent_id", F.col("seq"), levels=1 << 20)
+    """Bookmarks in depth-first order: ``position`` from 0 and ``depth``; siblings by ``seq``, then ``node_id``.
+
+    A node whose parent is missing is a root, and so is each node on a cycle: the link to its parent is cut.
+    """
+    ends = pointer_roots(outline, "doc_id", "node_id", "parent_id").where("root = node_id").select("doc_id", "node_id", F.lit(True).alias("_root"))
+    cut = outline.join(ends, ["doc_id", "node_id"], "left").withColumn("_up", F.when(F.col("_root").isNull(), F.col("parent_id")))
+    paths = node_paths(cut, "doc_id", "node_id", "_up", F.struct("seq", "node_id"))
     j = outline.join(paths, ["doc_id", "node_id"]).withColumn("depth", (F.size("path") - 1).cast("long"))
-    flat = dense_index(j, ["doc_id"], F.get("path", F.lit(0)), [F.col("path"), F.col("node_id")], "position")
+    # Blocks are subtrees three levels down, so that one root with everything below it is still split.
+    flat = dense_index(j, ["doc_id"], F.slice("path", 1, 3), [F.col("path")], "position")
     return flat.drop("path")
 
 

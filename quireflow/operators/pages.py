@@ -268,38 +268,26 @@ def split_by_bookmarks(pages: DataFrame, outline: DataFrame) -> DataFrame:
     return _with_split_error(parts.drop("_start"))
 
 
-IN_ROW_PAGES = 50_000
-
-
-def split_by_size(pages: DataFrame, max_bytes: int, in_row: int = IN_ROW_PAGES) -> DataFrame:
+def split_by_size(pages: DataFrame, max_bytes: int) -> DataFrame:
     """Greedy parts of at most ``max_bytes``; a page larger than that stands alone.
 
-    A document of ordinary length is folded inside its own row. A longer one is never
-    gathered: each page's next part start comes from running totals, and the starts reachable
-    from page 0 are found by doubling the jumps.
+    A document is never gathered: each page's next part start comes from running totals, and the starts
+    reachable from page 0 are found by doubling the jumps. The pages are computed once, as three numbers each.
     """
     if max_bytes < 1:
         raise ValueError("size target must be greater than zero")
-    long_docs = page_counts(pages).filter(F.col("page_count") > in_row).select("doc_id")
-    short = pages.join(long_docs, "doc_id", "left_anti").select("doc_id", "page_no", "n_bytes")
-    g = short.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "n_bytes"))).alias("_p"))
-    fold = (
-        "aggregate(_p, named_struct('sum', 0L, 'at', CAST(array() AS ARRAY<BIGINT>)), (a, x) -> "
-        f"if(size(a.at) > 0 AND a.sum + x.n_bytes <= {max_bytes}, named_struct('sum', a.sum + x.n_bytes, 'at', a.at), "
-        "named_struct('sum', x.n_bytes, 'at', concat(a.at, array(x.page_no)))), a -> a.at)"
-    )
-    starts = each(g, ["doc_id"], F.expr(fold), "page_no").drop("_pos")
-    # Planned only when such a document exists: one cheap existence probe on page counts.
-    if not long_docs.isEmpty():
-        starts = starts.unionByName(_long_starts(pages.join(long_docs, "doc_id", "left_semi"), max_bytes))
-    j = pages.join(starts.withColumn("_start", F.lit(1).cast("long")), ["doc_id", "page_no"], "left")
+    slim = checkpointed(pages.select("doc_id", "page_no", F.col("n_bytes").cast("long").alias("n_bytes")))
+    starts = _part_starts(slim, max_bytes).withColumn("_start", F.lit(1).cast("long"))
+    j = slim.select("doc_id", "page_no").join(starts, ["doc_id", "page_no"], "left")
     parts = running(j, ["doc_id"], block_of("page_no"), [F.col("page_no")], {"_n": ("sum", F.coalesce("_start", F.lit(0)).cast("long"))})
-    return _with_split_error(parts.withColumn("part_no", F.col("_n") - 1).drop("_start", "_n"))
+    parts = _with_split_error(parts.withColumn("part_no", F.col("_n") - 1).drop("_start", "_n"))
+    rest = [c for c in pages.columns if c not in ("doc_id", "page_no")]
+    return pages.join(parts, ["doc_id", "page_no"]) if set(rest) - {"n_bytes"} else parts.join(slim, ["doc_id", "page_no"])
 
 
-def _long_starts(pages: DataFrame, max_bytes: int) -> DataFrame:
-    p = running(pages.select("doc_id", "page_no", "n_bytes"), ["doc_id"], block_of("page_no"), [F.col("page_no")],
-                {"_end": ("sum", F.col("n_bytes").cast("long"))})
+def _part_starts(pages: DataFrame, max_bytes: int) -> DataFrame:
+    p = running(pages, ["doc_id"], block_of("page_no"), [F.col("page_no")],
+                {"_end": ("sum", F.col("n_bytes"))})
     p = checkpointed(p)
     # A part starting at page i ends before the first page whose running total passes
     # start + max: count the totals at or below that bound.

@@ -26,9 +26,15 @@ def font_inventory(runs: DataFrame) -> DataFrame:
     return f.filter(F.trim("font") != "").distinct()
 
 
+def first_fonts(runs: DataFrame) -> DataFrame:
+    """One row per document and font, embedded or not as where it is first seen: the lowest page, then run."""
+    f = runs.select("doc_id", strip_subset_tag(F.col("font_name")).alias("font"), "embedded", F.struct("page_no", "run_no").alias("_at"))
+    return f.filter(F.trim("font") != "").groupBy("doc_id", "font").agg(F.min_by("embedded", "_at").alias("embedded"))
+
+
 def font_report(fonts: DataFrame, installed: DataFrame) -> DataFrame:
-    """How each document's fonts will be drawn. ``installed`` has ``key`` (normalised names)."""
-    once = fonts.groupBy("doc_id", "font").agg(F.min("embedded").alias("embedded")).withColumn("key", normalize_font_key(F.col("font")))
+    """How each document's fonts will be drawn; ``fonts`` as from :func:`first_fonts`. ``installed`` has ``key`` (normalised names)."""
+    once = fonts.withColumn("key", normalize_font_key(F.col("font")))
     j = once.join(installed.select("key", F.lit(True).alias("_sys")).distinct(), "key", "left")
     status = F.when(F.col("embedded"), "embedded").when(is_standard(F.col("font")), "standard").when(F.col("_sys"), "system").otherwise("fallback")
     j = j.withColumn("status", status)

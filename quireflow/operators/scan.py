@@ -97,23 +97,12 @@ def global_offsets(groups: DataFrame, order: list[str], size: str, out: str) ->
     Only one number per partition is combined centrally.
     """
     placed = checkpointed(groups.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    # One number per range partition is summed up in order; their count follows the cluster, not the data.
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("_pid").agg(F.sum(size).alias("_sum"))
-    every = sums.agg(F.collect_list(F.struct("_pid", "_sum")).alias("_all"))
-    # One struct per range partition: bounded by the partition count, never by the data.
-    base = sums.join(F.broadcast(every)).select(
-        "_pid",
-        F.aggregate(
-            F.filter("_all", lambda s: s["_pid"] < F.col("_pid")),
-            F.lit(0).cast("long"),
-            lambda a, s: a + s["_sum"],
-        ).alias("_base"),
-    )
+    base = sums.select("_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.join(F.broadcast(base), "_pid")
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
-        .drop("_pid", "_base")
-    )
+    return placed.join(base, "_pid").withColumn(out, F.col("_base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_pid", "_base")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

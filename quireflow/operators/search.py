@@ -121,19 +121,15 @@ def confirmed_hits(hits: DataFrame, decisions: DataFrame, keys: list[str]) -> Da
 def redacted(text: str, hits: str) -> Column:
     """The text without the hit spans (sorted, disjoint): the pieces between them, joined.
 
-    A substring counts characters from the start of the text; with many hits the text is cut into
+    A substring would count characters from the start of the text for each hit; the text is cut into
     characters once instead, and slices of that are joined.
     """
     before = f"coalesce(get({hits}, i - 1).end, 0)"
-    few = (
-        f"concat(array_join(transform({hits}, (h, i) -> substring({text}, {before} + 1, h.start - {before})), ''), "
-        f"substring({text}, element_at({hits}, -1).end + 1, length({text})))"
-    )
-    many = (
+    pieces = (
         f"transform(array(split({text}, '')), c -> array_join(concat(flatten(transform({hits}, (h, i) -> slice(c, {before} + 1, h.start - {before}))), "
         f"slice(c, element_at({hits}, -1).end + 1, size(c))), ''))[0]"
     )
-    return F.expr(f"CASE WHEN size({hits}) = 0 THEN {text} WHEN size({hits}) <= 64 THEN {few} ELSE {many} END")
+    return F.expr(f"CASE WHEN size({hits}) = 0 THEN {text} ELSE {pieces} END")
 
 
 def redact_text(df: DataFrame, text: str = "text", hits: str = "hits") -> DataFrame:

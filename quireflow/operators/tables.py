@@ -143,13 +143,11 @@ def tables_long(cells: DataFrame) -> DataFrame:
     )
 
 
-def tables_wide(cells: DataFrame, width: int) -> DataFrame:
-    """The wide form for tables of up to ``width`` columns: one row per table row."""
-    from ..functions.numbering import to_alpha_py
-
-    heads = [to_alpha_py(i + 1).upper() for i in range(width)]
-    lettered = cells.withColumn("_c", column_letters(F.col("col_no")))
-    return lettered.groupBy(*TABLE, "row_no").pivot("_c", heads).agg(F.first("text"))
+def tables_wide(cells: DataFrame) -> DataFrame:
+    """One row per table row: ``columns`` and ``cells``, the letters and texts of all its cells from left to right."""
+    ordered = F.sort_array(F.collect_list(F.struct("col_no", column_letters(F.col("col_no")).alias("letter"), "text")))
+    wide = cells.groupBy(*TABLE, "row_no").agg(ordered.alias("_c"))
+    return wide.select(*TABLE, "row_no", F.col("_c.letter").alias("columns"), F.col("_c.text").alias("cells"))
 
 
 def document_blocks(lines: DataFrame, tables: DataFrame, images: DataFrame | None = None) -> DataFrame:

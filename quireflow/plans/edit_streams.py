@@ -49,12 +49,16 @@ def edit_history_stream(v):
     return J.drain(H.edit_history_stream(_events(v, v.stream("events"))))
 
 
+_EVERY = 6 * 3600
+
+
 @query("autosave_ticks", "M3", f"""
-    SELECT doc_id, strftime(w + INTERVAL 30 SECOND, '{_TS}') AS tick, edits FROM (
-      SELECT doc_id, time_bucket(INTERVAL 30 SECOND, ts) AS w, count_if(op IN ('record', 'soft'))::BIGINT AS edits, max(CASE WHEN op IN ('record', 'soft') THEN ts END) AS e, max(CASE WHEN op = 'save' THEN ts END) AS s
-      FROM edit_events GROUP BY ALL) WHERE e IS NOT NULL AND (s IS NULL OR e > s)""", "edit_events")
+    SELECT doc_id, strftime(epoch_ms(k * {_EVERY * 1000}), '{_TS}') AS tick, event_id FROM (
+      SELECT doc_id, event_id, unnest(range(epoch_us(ts) // {_EVERY * 1_000_000} + 1, epoch_us(coalesce(following, (SELECT max(ts) FROM edit_events))) // {_EVERY * 1_000_000} + 1)) AS k FROM (
+        SELECT h.doc_id, h.event_id, h.dirty, e.ts, lead(e.ts) OVER (PARTITION BY h.doc_id ORDER BY e.ts, h.event_id) AS following FROM history h JOIN edit_events e USING (doc_id, event_id)) WHERE dirty)""", "edit_events history")
 def autosave_ticks(v):
-    return W.autosave_ticks(v.edit_events()).withColumn("tick", _stamp("tick"))
+    e = _events(v)
+    return W.autosave_ticks(e, H.edit_history(e), _EVERY).withColumn("tick", _stamp("tick"))
 
 
 SQL_VIEWS["sessions"] = (("edit_events",), f"""

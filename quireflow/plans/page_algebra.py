@@ -168,7 +168,7 @@ def split_at_pages(v):
       FROM f JOIN doc_pages p ON p.doc_id = f.doc_id AND p.page_no = f.page_no + 1)
     SELECT doc_id, page_no, part_no, CASE WHEN max(part_no) OVER (PARTITION BY doc_id) = 0 THEN 'the split would give a single part' END AS error FROM f""", "doc_pages")
 def split_by_size(v):
-    return P.split_by_size(v.page_keys(), 6000).select("doc_id", "page_no", "part_no", "error")
+    return P.split_by_size(v.page_keys().select("doc_id", "page_no", "n_bytes"), 6000).select("doc_id", "page_no", "part_no", "error")
 
 
 @query("split_by_bookmarks", "G7", """

@@ -278,10 +278,11 @@ def tables_long(v):
 
 
 @query("tables_wide", "T11", """
-    SELECT doc_id, page_no, CAST(0 AS BIGINT) AS table_no, row_no, max(CASE WHEN col_no = 0 THEN text END) AS "A", max(CASE WHEN col_no = 1 THEN text END) AS "B",
-           max(CASE WHEN col_no = 2 THEN text END) AS "C" FROM cell_text GROUP BY ALL""", "cell_text")
+    SELECT doc_id, page_no, CAST(0 AS BIGINT) AS table_no, row_no, string_agg(chr(CAST(65 + col_no AS INT)), ',' ORDER BY col_no) AS "columns",
+           string_agg(text, '|' ORDER BY col_no) AS cells FROM cell_text GROUP BY ALL""", "cell_text")
 def tables_wide(v):
-    return T.tables_wide(_cells(v), 3)
+    w = T.tables_wide(_cells(v))
+    return w.withColumns({"columns": F.array_join("columns", ","), "cells": F.array_join("cells", "|")})
 
 
 @query("document_blocks", "T13", "SELECT doc_id, page_no, block_no, kind, \"no\", heading, text FROM blocks", "blocks")

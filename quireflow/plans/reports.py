@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions.folds import each
 from ..functions.spans import spans
 from ..operators import redaction as D
 from ..operators import reports as R
@@ -28,19 +29,19 @@ def font_inventory(v):
 
 @query("font_report", "J8 F8 F9", """
     SELECT doc_id, font, CASE font WHEN 'Arial-BoldMT' THEN 'arial' WHEN 'Calibri-Bold' THEN 'calibri' WHEN 'Georgia-Italic' THEN 'georgia' ELSE lower(font) END AS key,
-      CASE WHEN bool_and(embedded) THEN 'embedded' WHEN font = 'Arial-BoldMT' THEN 'standard' WHEN font IN ('Calibri-Bold') THEN 'system' ELSE 'fallback' END AS status,
-      CASE WHEN NOT bool_and(embedded) THEN CASE font WHEN 'Georgia-Italic' THEN 'Times-Italic' WHEN 'Consolas' THEN 'Courier' WHEN 'Verdana' THEN 'Helvetica' END END AS substitute
-    FROM (SELECT DISTINCT doc_id, regexp_replace(font_name, '^[A-Z]{6}\\+', '') AS font, embedded FROM runs) GROUP BY doc_id, font""", "runs")
+      CASE WHEN embedded THEN 'embedded' WHEN font = 'Arial-BoldMT' THEN 'standard' WHEN font IN ('Calibri-Bold') THEN 'system' ELSE 'fallback' END AS status,
+      CASE WHEN NOT embedded THEN CASE font WHEN 'Georgia-Italic' THEN 'Times-Italic' WHEN 'Consolas' THEN 'Courier' WHEN 'Verdana' THEN 'Helvetica' END END AS substitute
+    FROM (SELECT doc_id, regexp_replace(font_name, '^[A-Z]{6}\\+', '') AS font, arg_min(embedded, (page_no, run_no)) AS embedded FROM runs GROUP BY ALL)""", "runs")
 def font_report(v):
     installed = v.spark.createDataFrame([("calibri",), ("verdanapro",)], "key string")
-    return R.font_report(R.font_inventory(v.runs()), installed)
+    return R.font_report(R.first_fonts(v.runs()), installed)
 
 
 @query("needs_fallback", "J8", """
     SELECT doc_id, bool_or(font_name IN ('Georgia-Italic', 'Consolas')) AS needs_fallback FROM runs GROUP BY doc_id""", "runs")
 def needs_fallback(v):
     installed = v.spark.createDataFrame([("calibri",)], "key string")
-    return R.needs_fallback(R.font_report(R.font_inventory(v.runs()), installed))
+    return R.needs_fallback(R.font_report(R.first_fonts(v.runs()), installed))
 
 
 _FAM = ["Arial", "Georgia", "Menlo", "Carlito", "Noto Serif"]
@@ -218,9 +219,11 @@ def redact_report(v):
 
 
 @query("match_boxes", "D8", """
-    SELECT doc_id, page_no, run_no, "left" + 6 * (strpos(text, 'qu') - 1) AS x0, top AS y0, "left" + 6 * (strpos(text, 'qu') + 1) AS x1, bottom AS y1 FROM runs WHERE contains(text, 'qu')""", "runs")
+    SELECT doc_id, page_no, run_no, "left" + 6 * k AS x0, top AS y0, "left" + 6 * (k + 2) AS x1, bottom AS y1 FROM (
+      SELECT *, unnest([list_sum([length(x) FOR x IN s[1:i]]) + 2 * (i - 1) FOR i IN range(1, len(s))]) AS k FROM (SELECT *, string_split(text, 'qu') AS s FROM runs WHERE contains(text, 'qu')))""", "runs")
 def match_boxes(v):
-    hit = v.runs().filter(F.contains("text", F.lit("qu"))).withColumn("_s", F.get(spans("text", "qu"), F.lit(0)))
+    runs = v.runs().filter(F.contains("text", F.lit("qu")))
+    hit = each(runs, ["doc_id", "page_no", "run_no", "text", "left", "right", "top", "bottom"], spans("text", "qu"), "_s")
     return hit.withColumn("_b", D.sub_rect(F.col("_s.start"), F.col("_s.end"))).select("doc_id", "page_no", "run_no", "_b.x0", "_b.y0", "_b.x1", "_b.y1")
 
 

@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from ..operators.scan import block_of, running
 
 LATE = "10 minutes"
-EDITS = ("record", "soft")
 
 
 def _late(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withWatermark(column, LATE) if df.isStreaming else df
 
 
-def autosave_ticks(events: DataFrame, every: str = "30 seconds") -> DataFrame:
-    """A recovery copy per document and tick that ends with an edit not yet saved."""
-    op = F.col("op")
-    stamp = F.struct("ts", "event_id")
-    g = _late(events).groupBy("doc_id", F.window("ts", every)).agg(
-        F.max(F.when(op.isin(*EDITS), stamp)).alias("_edit"), F.max(F.when(op == "save", stamp)).alias("_save"),
-        F.count_if(op.isin(*EDITS)).alias("edits"),
-    )
-    dirty = F.col("_edit").isNotNull() & (F.col("_save").isNull() | (F.col("_edit") > F.col("_save")))
-    return g.filter(dirty).select("doc_id", F.col("window.end").alias("tick"), "edits")
+def autosave_ticks(events: DataFrame, history: DataFrame, every: int = 30) -> DataFrame:
+    """A recovery copy per document at every tick of ``every`` seconds while it is dirty, up to the last event of all.
+
+    ``history`` holds ``dirty`` after each event, as :func:`edit_history` gives it. ``event_id`` names the last event before the tick;
+    a tick at the very time of an event still belongs to the state before it.
+    """
+    seen = events.select("doc_id", "event_id", "ts").join(history.select("doc_id", "event_id", "dirty"), ["doc_id", "event_id"])
+    following = F.lead("ts").over(Window.partitionBy("doc_id").orderBy("ts", "event_id"))
+    spans = seen.withColumn("_next", F.coalesce(following, events.agg(F.max("ts")).scalar())).filter("dirty")
+    tick = lambda c: F.floor(F.unix_micros(c) / F.lit(every * 1_000_000)).cast("long")
+    # A tick is due after the event's time, at or before the next one's.
+    first, final = tick("ts") + 1, tick("_next")
+    numbers = F.when(first <= final, F.sequence(first, final))
+    ticks = spans.select("doc_id", "event_id", F.explode(numbers).alias("_k"))
+    return ticks.select("doc_id", F.timestamp_seconds(F.col("_k") * every).alias("tick"), "event_id")
 
 
 def debounce(events: DataFrame, gap: str) -> DataFrame:

@@ -171,6 +171,19 @@ def test_outline_order(spark):
     assert [(r.title, r.depth) for r in flat] == [("A", 0), ("A1", 1), ("B", 0), ("B1", 1), ("B11", 2)]
 
 
+def test_outline_ties_cycles_and_long_chains(spark):
+    schema = "doc_id long, node_id long, parent_id long, seq long, title string"
+    tied = [(1, 1, None, 0, "A"), (1, 2, None, 0, "B"), (1, 3, 1, 0, "A1"), (1, 4, 2, 0, "B1"), (1, 5, 1, 0, "A2")]
+    flat = H.outline_flatten(spark.createDataFrame(tied, schema)).orderBy("position").collect()
+    assert [r.title for r in flat] == ["A", "A1", "A2", "B", "B1"]
+    cycle = [(1, 1, 2, 1, "x"), (1, 2, 1, 2, "y"), (1, 3, 2, 1, "tail"), (1, 4, 4, 3, "self"), (1, 5, 99, 4, "lost")]
+    flat = H.outline_flatten(spark.createDataFrame(cycle, schema)).orderBy("position").collect()
+    assert [(r.title, r.depth) for r in flat] == [("x", 0), ("y", 0), ("tail", 1), ("self", 0), ("lost", 0)]
+    chain = [(1, i, i - 1 if i else None, 0, str(i)) for i in range(300)]
+    flat = H.outline_flatten(spark.createDataFrame(chain, schema)).orderBy("position").collect()
+    assert [(r.node_id, r.depth) for r in flat] == [(i, i) for i in range(300)]
+
+
 def test_updates(spark):
     f = spark.createDataFrame([(1, "a", 5), (1, "b", 6)], "doc_id long, name string, max_len long")
     u = spark.createDataFrame([(1, "a", "b", 9), (1, "b", "b", 7)], "doc_id long, name string, new_name string, max_len long")

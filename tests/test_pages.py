@@ -89,13 +89,12 @@ def greedy(sizes, limit):
     return out
 
 
-@pytest.mark.parametrize("in_row", [0, 50_000])
-def test_split_by_size_both_ways(spark, in_row):
+def test_split_by_size(spark):
     rng = random.Random(5)
     sizes = {d: [rng.choice([10, 40, 70, 250]) for _ in range(n)] for d, n in enumerate((1, 2, 40, 75))}
     rows = [(d, p, s) for d, ss in sizes.items() for p, s in enumerate(ss)]
     df = spark.createDataFrame(rows, "doc_id long, page_no long, n_bytes long")
-    got = table(P.split_by_size(df, 200, in_row=in_row), "doc_id", "page_no", "part_no")
+    got = table(P.split_by_size(df, 200), "doc_id", "page_no", "part_no")
     assert got == [(d, p, part) for d, ss in sizes.items() for p, part in enumerate(greedy(ss, 200))]
 
 
