@@ -51,9 +51,10 @@ def exact_groups(
     salted = salted.groupBy("digest", "salt", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     winners = salted.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     winners = winners.select("digest", *_content_key(F.col("norm"), digest)[1:], "keep_id", "group_size")
-    winners = winners.groupBy(*KEY).agg(
+    # Grouped by the key as one value, so that the join below deals both of its sides anew and can split a hot key.
+    winners = winners.groupBy(F.struct(*KEY).alias("key")).agg(
         F.count(F.lit(1)).alias("contents"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-    )
+    ).select("key.*", "contents", "keep_id", "group_size")
     clash = F.raise_error(F.concat(F.lit("two texts share all hashes: "), F.col("digest").cast("string")))
     winners = winners.withColumn("group_size", F.when(F.col("contents") > 1, clash.cast("long")).otherwise(F.col("group_size")))
     members = rows.select("doc_id", *key).groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("times"))
@@ -64,12 +65,8 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
-    mine = [f"_exact_dedup_{k}" for k in KEY]
-    norm = normalised(F.col(text_col))
-    tagged = docs.withColumns(dict(zip(mine, _content_key(norm, sha256), strict=True)))
-    kept = exact_groups(docs, id_col, text_col, salts).where("kept")
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), *[F.col(k).alias(f"_kept_{k}") for k in KEY])
-    same = tagged[id_col].eqNullSafe(kept["_kept_id"])
-    for k, name in zip(KEY, mine, strict=True):
-        same = same & (tagged[name] == kept[f"_kept_{k}"])
-    return tagged.join(kept, same, "left_semi").dropDuplicates([id_col, *mine]).drop(*mine)
+    # The id and the content key as one value: nulls compare equal in it, and one exchange serves the join and the aggregate.
+    mine, theirs = "_exact_dedup_key", "_exact_dedup_kept"
+    tagged = docs.withColumn(mine, F.struct(F.col(id_col).alias("doc_id"), *_content_key(normalised(F.col(text_col)), sha256)))
+    kept = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.struct("doc_id", *KEY).alias(theirs))
+    return tagged.join(kept, tagged[mine] == kept[theirs], "left_semi").dropDuplicates([mine]).drop(mine)
