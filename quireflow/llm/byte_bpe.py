@@ -20,8 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_AT_ONCE = 512
-CACHED_WORDS = 400_000
+ROWS_AT_ONCE = 256
+CACHED_WORDS = 100_000
 UNKNOWN = "␀"  # stands for no byte
 
 
@@ -123,6 +123,15 @@ def _in_batches(columns: Callable[[pa.RecordBatch], pa.RecordBatch]):
     return run
 
 
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)``: the token ids of each row's whole text, without special tokens; null counts as empty.
 
@@ -131,13 +140,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def columns(part: pa.RecordBatch) -> pa.RecordBatch:
         ids = codec(path, pattern).encode(part.column(1).to_pylist())
-        ends = np.cumsum([0, *map(len, ids)])
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_in_batches(columns), "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(_in_batches(columns), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -149,11 +154,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         sizes = np.asarray(lists.value_lengths().fill_null(0))
         ends = np.cumsum(sizes)
         data = [codec(path, pattern).decode(flat[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(_in_batches(columns), "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass and one worker: ``(doc_id, ids, decoded)``."""
+
+    def columns(part: pa.RecordBatch) -> pa.RecordBatch:
+        own = codec(path, pattern)
+        ids = own.encode(part.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([part.column(0), _lists(ids), pa.array(map(own.decode, ids), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(_in_batches(columns), "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of decoded rows, and the columns named in ``more``."""
     ids = F.coalesce("ids", F.array().cast("array<int>"))

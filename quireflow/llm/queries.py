@@ -67,8 +67,7 @@ def _tokenizer() -> tuple[str, str]:
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = _tokenizer()
-    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, pattern)
-    return byte_bpe.digests(byte_bpe.decode(encoded, path, pattern))
+    return byte_bpe.digests(byte_bpe.round_trip(table(spark, folder, "documents"), path, pattern))
 
 
 @query("op8_html_extract")

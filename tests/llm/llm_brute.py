@@ -27,3 +27,19 @@ def brute_components(fps, distance):
                 if (a ^ b).bit_count() <= distance and comp[j] < comp[i]:
                     comp[i], changed = comp[j], True
     return comp
+
+
+def runs_in_common(words, n):
+    """Smallest id reachable over texts (lists of word hashes) that share any ``n`` neighbouring words."""
+    seen, root = {}, {i: i for i in words}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(words):
+        for k in range(len(words[i]) - n + 1):
+            a, b = find(i), find(seen.setdefault(tuple(words[i][k : k + n]), i))
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in words}

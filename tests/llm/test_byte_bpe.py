@@ -50,6 +50,7 @@ def test_query_columns(docs, oracle):
         ids = oracle.encode_ordinary(t or "")
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, B.digests(B.round_trip(frame, PATH, P.PATTERN)).collect()), key=repr) == sorted(want, key=repr)
     assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
 
 
