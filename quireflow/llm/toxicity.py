@@ -87,17 +87,19 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 18, rounds: t
     A first round finds the features that matter; a second one fits those whose weight is over ``cut``, the bias and the leak.
     """
     sent, bucket, doc, offset, documents = [], [], [], 0, 0
+    found_in = np.zeros(buckets, np.int64)
     for _, group in groups_of(texts):
         s, b, d, *_ = _instances(group, buckets)
-        sent.append(s + offset)
-        bucket.append(b)
-        doc.append(d + documents)
+        found_in += np.bincount(np.unique(d[s] * buckets + b) % buckets, minlength=buckets)
+        sent.append((s + offset).astype(np.int32))
+        bucket.append(b.astype(np.int32))
+        doc.append((d + documents).astype(np.int32))
         offset += len(d)
         documents += len(group)
     s, b, d = np.concatenate(sent), np.concatenate(bucket), np.concatenate(doc)
     y = np.asarray(labels, bool)
-    in_doc = np.unique(d[s] * buckets + b)
-    common = np.bincount(in_doc % buckets, minlength=buckets) >= least
+    del sent, bucket, doc
+    common = found_in >= least
     x = np.array([-6.0, -3.0])
     used = np.empty(0, np.int64)
     for epochs, decay in zip(rounds, (0.2, 0.02), strict=True):
