@@ -4,14 +4,13 @@ Benchmark items, cut into query passages, are handled in groups of bounded size.
 overlapping passages by the group's terms. One pass over all documents counts in how many passages each term occurs and sums the
 sketch of a randomised singular value decomposition (N'N times a random matrix), task by task; the items are rows of the same
 matrix, with the weight of the whole corpus, so that the latent space holds each of them. The decomposition of the small sketch
-gives the space. A second pass projects the TF-IDF vector of every passage that could still reach the check, searches
-the group's items by cosine, and compares the words of each candidate with the item: longest common subsequence, and
-the item's answer (what follows its last question or, without one, its last sentence).
+gives the space. A second pass counts how many of each item's words, common ones too, a document and then a passage with its surroundings
+hold, and compares the words of each passage that holds enough of them with the item: longest common subsequence, and
+the item's answer (what follows its last question or, without one, its last sentence). What it finds gets its cosine in the latent space.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,7 +44,6 @@ class Group:
     terms: np.ndarray
     queries: np.ndarray
     owner: list[int]
-    least: int  # distinct terms that a passage needs for the check to be within reach
     seed: int
     idf: np.ndarray = field(default_factory=lambda: np.empty(0))
     space: np.ndarray = field(default_factory=lambda: np.empty(0))
@@ -74,7 +72,7 @@ def read_items(rows: list[tuple[int | None, str | None]]) -> list[Item]:
     return items
 
 
-def group_items(items: list[Item], common: float = 0.01, reach: float = 0.5) -> list[Group]:
+def group_items(items: list[Item], common: float = 0.01) -> list[Group]:
     """Cut items into query passages of at most ``STRIDE`` words and those into groups.
 
     Words found in more than ``common`` of the items carry no topic and are left out, unless a passage would keep under five terms.
@@ -99,8 +97,7 @@ def group_items(items: list[Item], common: float = 0.01, reach: float = 0.5) ->
         queries = np.zeros((len(part), len(terms)), np.float32)
         for row, (_, p) in zip(queries, part, strict=True):
             row[np.searchsorted(terms, np.array(sorted(p), np.uint64))] = 1
-        least = max(1, min(math.ceil(reach * len(p)) for _, p in part))
-        groups.append(Group(terms, queries, [i for i, _ in part], least, at))
+        groups.append(Group(terms, queries, [i for i, _ in part], at))
     return groups
 
 
@@ -270,50 +267,104 @@ def common_subsequence(pattern: list[int], text: list[int]) -> int:
     return len(pattern) - row.bit_count()
 
 
+class Holdings:
+    """Which items hold each word, and how often: a dense row for words of many items, lists for the others."""
+
+    def __init__(self, items: list[Item], many: int = 64):
+        n = len(items)
+        pair, count = np.unique(np.array([(w, i) for i, item in enumerate(items) for w in item.words], np.uint64), axis=0, return_counts=True)
+        self.words, first = np.unique(pair[:, 0], return_index=True)
+        self.item, self.count = pair[:, 1].astype(np.int64), count.astype(np.float32)
+        self.first, self.length = first, np.diff(np.r_[first, len(pair)])
+        dense = np.flatnonzero(self.length > many)
+        self.row = np.full(len(self.words), -1, np.int64)
+        self.row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), n), np.float32)
+        for r, w in enumerate(dense):
+            own = slice(first[w], first[w] + self.length[w])
+            self.dense[r, self.item[own]] = self.count[own]
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[(self.words & np.uint64(SIEVE - 1)).astype(np.int64)] = True
+
+    def held(self, here: np.ndarray) -> np.ndarray:
+        """How many of each item's words are among ``here``."""
+        here = here[self.sieve[(here & np.uint64(SIEVE - 1)).astype(np.int64)]]
+        at = np.minimum(np.searchsorted(self.words, here), len(self.words) - 1)
+        at = np.unique(at[self.words[at] == here])
+        row = self.row[at]
+        out = self.dense[row[row >= 0]].sum(axis=0)
+        at = at[row < 0]
+        if len(at):
+            size = self.length[at]
+            flat = np.repeat(self.first[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            out = out + np.bincount(self.item[flat], self.count[flat], len(out))
+        return out
+
+
 @dataclass
 class Search:
     items: list[Item]
     groups: list[Group]
-    reach: float = 0.5  # as in group_items
-    cosine: float = 0.25  # a passage may hold several items; the short ones among them have small cosines
     whole: float = 0.8
     part: float = 0.6
     answer: float = 0.8
 
+    def __post_init__(self) -> None:
+        self.holdings = Holdings(self.items)
+        self.sizes = np.array([len(i.words) for i in self.items])
+        self.queries: dict[int, list[tuple[int, int]]] = {}
+        for g, group in enumerate(self.groups):
+            for k, i in enumerate(group.owner):
+                self.queries.setdefault(i, []).append((g, k))
+
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """Per text the leaked items: position in ``items`` -> cosine, share of the item's words in common order, share of its answer."""
         out: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
-        vocabulary = Vocabulary(self.groups)
+        # Whole numbers of words against a share of the size: the check itself decides at the border.
+        need = np.minimum(self.part, self.whole) * self.sizes - 1e-3
         for first, batch in groups_of(texts):
-            cells = cut_cells(batch, vocabulary)
-            for g, (passage, term) in zip(self.groups, passage_terms(cells, vocabulary), strict=True):
-                keep = np.bincount(passage)[passage] >= g.least
-                if not keep.any():
-                    continue
-                rows, z = _row_sums(g.space[term[keep]] * g.idf[term[keep], None].astype(np.float32), passage[keep])
-                near = (z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]) @ g.latent.T
-                # A candidate must hold enough of the query's own terms for its words to pass the check.
-                _, held = _row_sums(g.queries.T[term[keep]], passage[keep])
-                for r, k in zip(*np.nonzero((near >= self.cosine) & (held >= self.reach * g.queries.sum(axis=1))), strict=True):
-                    self._check(cells, int(rows[r]), g.owner[k], float(near[r, k]), out, first)
+            words = cut_words(batch)
+            ends = np.cumsum(np.bincount(words.doc, minlength=len(batch)))
+            for doc, (begin, end) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+                own = words.hash[begin:end]
+                if len(own):
+                    for i in np.flatnonzero(self.holdings.held(own) >= need).tolist():
+                        best = self._search(own, i, float(need[i]))
+                        if best:
+                            out[first + doc][i] = best
         return out
 
-    def _check(self, cells: Cells, passage: int, item: int, near: float, out: list[dict], first: int) -> None:
-        doc = int(cells.doc[passage])
-        known = self.items[item]
-        size = len(known.words)
-        begin = max(int(cells.first_word[passage]) - size, int(cells.ends[doc - 1]) if doc else 0)
-        end = min(int(cells.first_word[passage]) + 2 * STRIDE + size, int(cells.ends[doc]))
-        region = cells.words[begin:end].tolist()
-        here = set(region)
-        if sum(w in here for w in known.words) < self.part * size:
-            return
-        share = common_subsequence(known.words, region) / size
-        answer = len(known.answer & here) / len(known.answer)
-        if share >= self.whole or (share >= self.part and answer >= self.answer):
-            best = out[first + doc].get(item)
-            if best is None or best[1] < share or (best[1] == share and best[0] < near):
-                out[first + doc][item] = (near, share, answer)
+    def _search(self, words: np.ndarray, i: int, need: float) -> tuple[float, float, float] | None:
+        """The best passage of a document for item ``i``, by share and then cosine."""
+        known, size, best = self.items[i], len(self.items[i].words), None
+        terms, times = np.unique(np.array(known.words, np.uint64), return_counts=True)
+        at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
+        hit = np.flatnonzero(terms[at] == words)
+        term = at[hit]
+        starts = np.arange(0, len(words), STRIDE)
+        begins, ends = np.maximum(starts - size, 0), np.minimum(starts + 2 * STRIDE + size, len(words))
+        lows, highs = np.searchsorted(hit, begins), np.searchsorted(hit, ends)
+        for k in np.flatnonzero((highs - lows) * times.max() >= need).tolist():
+            here = np.unique(term[lows[k] : highs[k]])
+            if times[here].sum() < need:
+                continue
+            share = common_subsequence(known.words, terms[term[lows[k] : highs[k]]].tolist()) / size
+            held = set(terms[here].tolist())
+            answer = len(known.answer & held) / len(known.answer)
+            if (share >= self.whole or (share >= self.part and answer >= self.answer)) and (best is None or share >= best[1]):
+                found = (self._cosine(words[starts[k] : starts[k] + 2 * STRIDE], i), share, answer)
+                best = found if best is None or (share, found[0]) > (best[1], best[0]) else best
+        return best
+
+    def _cosine(self, passage: np.ndarray, item: int) -> float:
+        """Of the passage and the nearest query of the item; 0 without any of its terms."""
+        near = 0.0
+        for g, k in self.queries[item]:
+            group = self.groups[g]
+            term = np.flatnonzero(np.isin(group.terms, passage))
+            z = (group.space[term] * group.idf[term, None].astype(np.float32)).sum(axis=0)
+            near = max(near, float(z @ group.latent[k] / max(np.linalg.norm(z), 1e-12)))
+        return near
 
 
 def searches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Search]:

@@ -115,3 +115,38 @@ def test_empty_tables(docs, spark):
     bench = spark.createDataFrame(ITEMS[:3], "item_id long, text string")
     assert D.leaks(docs([(1, "a b c")]), none).collect() == [] and D.leaks(docs([]), bench).collect() == []
     assert [r["doc_id"] for r in D.drop_leaks(docs([(1, "a b c")]), none).collect()] == [1]
+
+
+def rule(items, text):
+    """The leaked items by the words alone, over all passages and items."""
+    words, found = D._word_hashes(text or ""), set()
+    for item in items:
+        n = len(item.words)
+        for at in range(0, len(words), D.STRIDE):
+            region = words[max(at - n, 0) : at + 2 * D.STRIDE + n]
+            here = set(region)
+            if sum(w in here for w in item.words) >= 0.6 * n:
+                share = D.common_subsequence(item.words, region) / n
+                if share >= 0.8 or (share >= 0.6 and len(item.answer & here) >= 0.8 * len(item.answer)):
+                    found.add(item.item_id)
+    return found
+
+
+def test_leaks_are_the_rule_over_all_passages(docs, spark):
+    """Content words replaced, so that the order of the common ones makes the leak; few and many items."""
+    r = random.Random(9)
+    for n in (40, 2000):
+        own = [f"{a}{b}" for a in VOCAB for b in ("ka", "po", "zu")]
+        items = [(i, " ".join(r.choice(COMMON) if r.random() < 0.5 else r.choice(VOCAB) if r.random() < 0.6 else r.choice(own) for _ in range(r.randint(25, 60)))) for i in range(n)]
+        read, rows = D.read_items(items), []
+        for k in range(40):
+            words = items[k][1].split()
+            lone = [j for j, w in enumerate(words) if w not in COMMON]
+            gone = set(sorted(lone, key=lambda j: words[j] in VOCAB)[: len(words) // 6])
+            text = [r.choice(VOCAB) + "x" for _ in range(150)] + ["zz" if j in gone else w for j, w in enumerate(words)] + [r.choice(VOCAB) + "y" for _ in range(90)]
+            rows.append((k, " ".join(text)))
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = {(x["doc_id"], x["item_id"]) for x in D.leaks(docs(rows), bench).collect()}
+        want = {(k, i) for k, text in rows for i in rule(read, text)}
+        print(n, "items:", len(got & want), "of", len(want), "leaks,", len(got - want), "others")
+        assert len(want) >= 40 and got == want
