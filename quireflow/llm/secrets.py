@@ -33,7 +33,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 # Alphabets in the order they are tried.
 HEXADECIMAL, UPPER_HEXADECIMAL = "0123456789abcdef", "0123456789ABCDEF"
 UPPERCASE, LOWERCASE, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -59,11 +59,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def infer(token: str) -> tuple[str, list[int], int] | None:
-    """``(encoding, symbols, alphabet size)`` in the smallest alphabet that fits; None for words and numbers."""
+    """``(encoding, symbols, alphabet size)`` in the smallest alphabet that fits; None for numbers, of which no text model can tell anything."""
     body = token.rstrip("=")
-    kinds = [any(c in group for c in body) for group in (UPPERCASE, LOWERCASE, DIGITS)]
-    if kinds.count(True) < 2 or not kinds[2]:
-        return None  # one kind of character, or no digit: words, names, numbers
+    if not any(c in UPPERCASE or c in LOWERCASE for c in body):
+        return None
     for name, alphabet in ALPHABETS:
         at = {c: i for i, c in enumerate(alphabet)}
         if all(c in at for c in body):

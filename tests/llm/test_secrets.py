@@ -101,3 +101,15 @@ def test_whole_table_against_brute_force(spark):
 
 def test_empty(docs):
     assert S.scan(docs([])).collect() == []
+
+
+def test_keys_after_an_equals_sign_and_without_digits(docs):
+    r = random.Random(12)
+    key = lambda n, alphabet=S.UPPERCASE + S.LOWERCASE + S.DIGITS: "".join(r.choice(alphabet) for _ in range(n))
+    shapes = ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "client-key={}", "see https://x.org/z?sig={}&a=1", "only words {} here"]
+    rows = [(i, shapes[i % 5].format(t), t) for i, t in enumerate(key(32, S.UPPERCASE + S.LOWERCASE if i % 5 == 4 else S.UPPERCASE + S.LOWERCASE + S.DIGITS) for i in range(100))]
+    words = ["getElementsByTagName", "internationalisation", "THE_LONG_CONSTANT_NAME", "name=averyverylongwordindeed", "a=4913615156729033"]
+    got = {x["doc_id"]: x["random"] for x in S.scan(docs([(i, t) for i, t, _ in rows] + [(1000 + i, w) for i, w in enumerate(words)])).collect()}
+    hits = [sum(any(text[s["start"] : s["end"]] == k for s in got[i]) for i, text, k in rows if i % 5 == n) for n in range(5)]
+    print("hits", hits, "of 20 each")
+    assert all(h >= 17 for h in hits) and not any(got[1000 + i] for i in range(len(words)))
