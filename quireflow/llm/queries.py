@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     byte_bpe,
+    conversations,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -118,3 +119,8 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.classes(table(spark, folder, "documents"))
     spans = F.transform("repeats", lambda s: F.concat_ws(":", s["start"], s["end"], s["of"]))
     return found.select("doc_id", "class_id", "n_links", F.array_join(spans, ",").alias("repeats"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
