@@ -15,6 +15,7 @@ from . import (
     html_extract,
     language_id,
     secrets,
+    shards,
     simhash,
     substring_dedup,
     toxicity,
@@ -124,3 +125,9 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_conversation_repair")
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
+
+
+@query("op12_sharding")
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = shards.assign(table(spark, folder, "documents"), shards=40)
+    return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
