@@ -20,6 +20,7 @@ from . import (
     substring_dedup,
     toxicity,
     url_filter,
+    whitening,
 )
 from .samples import held_out
 
@@ -131,3 +132,8 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     found = shards.assign(table(spark, folder, "documents"), shards=40)
     return found.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
