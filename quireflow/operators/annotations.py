@@ -153,21 +153,29 @@ def xfdf_element(df: DataFrame) -> Column:
     )
 
 
+#: What stands before, between and after the elements of an interchange file.
+XFDF_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">\n<annots>\n'
+XFDF_BETWEEN, XFDF_TAIL = "\n", "\n</annots>\n</xfdf>\n"
+
+
+def xfdf_elements(df: DataFrame) -> DataFrame:
+    """``(doc_id, page, seq, element)`` of the annotations whose kind has an element."""
+    return df.filter(F.col("kind").isin(*KIND_ELEMENTS)).select("doc_id", "page", "seq", xfdf_element(df).alias("element"))
+
+
 def annotations_to_xfdf(df: DataFrame) -> DataFrame:
     """Interchange text per document and page: ``annots`` lines in input order, and their count.
 
     One page's elements make one output row; :func:`xfdf_document` wraps a document's pages.
     """
-    known = df.filter(F.col("kind").isin(*KIND_ELEMENTS)).withColumn("_x", xfdf_element(df))
-    g = known.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "_x"))).alias("_e"), F.count(F.lit(1)).alias("written"))
-    return g.select("doc_id", "page", F.array_join(F.col("_e._x"), "\n").alias("annots"), "written")
+    g = xfdf_elements(df).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "element"))).alias("_e"), F.count(F.lit(1)).alias("written"))
+    return g.select("doc_id", "page", F.array_join(F.col("_e.element"), XFDF_BETWEEN).alias("annots"), "written")
 
 
 def xfdf_document(pages: DataFrame) -> DataFrame:
     """One file per document: pages in order, and how many annotations were written."""
     g = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "annots"))).alias("_p"), F.sum("written").alias("written"))
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">\n<annots>\n'
-    xml = F.concat(F.lit(head), F.array_join(F.col("_p.annots"), "\n"), F.lit("\n</annots>\n</xfdf>\n"))
+    xml = F.concat(F.lit(XFDF_HEAD), F.array_join(F.col("_p.annots"), XFDF_BETWEEN), F.lit(XFDF_TAIL))
     return g.select("doc_id", xml.alias("xml"), "written")
 
 

@@ -219,24 +219,31 @@ def json_string(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
-def write_form_data(data: DataFrame, fmt: str, order: str) -> DataFrame:
-    """One file's text per document in json, csv or xfdf; push-buttons hold no data."""
+def form_file_format(fmt: str) -> tuple[Column, str, str, str]:
+    """``(row, head, separator, tail)`` of a form-data file in json, csv or xfdf."""
     if fmt not in ("json", "csv", "xfdf"):
         raise ValueError(f"unknown form-data format: {fmt}")
     name, kind, value = F.col("name"), F.col("kind"), F.col("value")
     if fmt == "csv":
-        line = F.concat_ws(",", csv_quote(name), csv_quote(kind), csv_quote(F.array_join(value, ";")))
-        head, sep, tail = "name,type,value\n", "\n", "\n"
-    elif fmt == "xfdf":
+        return F.concat_ws(",", csv_quote(name), csv_quote(kind), csv_quote(F.array_join(value, ";"))), "name,type,value\n", "\n", "\n"
+    if fmt == "xfdf":
         each = F.array_join(F.transform(value, lambda v: F.concat(F.lit("      <value>"), xml_escape(v), F.lit("</value>\n"))), "")
         line = F.concat(F.lit('    <field name="'), xml_escape(name), F.lit('">\n'), each, F.lit("    </field>"))
         head = '<?xml version="1.0" encoding="UTF-8"?>\n<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">\n  <fields>\n'
-        sep, tail = "\n", "\n  </fields>\n</xfdf>\n"
-    else:
-        values = F.array_join(F.transform(value, lambda v: F.concat(F.lit("      "), json_string(v))), ",\n")
-        arr = F.when(F.size(value) == 0, "[]").otherwise(F.concat(F.lit("[\n"), values, F.lit("\n    ]")))
-        line = F.concat(F.lit('  {\n    "name": '), json_string(name), F.lit(',\n    "type": '), json_string(kind), F.lit(',\n    "value": '), arr, F.lit("\n  }"))
-        head, sep, tail = "[\n", ",\n", "\n]"
-    rows = data.filter(kind != "pushbutton").select("doc_id", order, line.alias("_l"))
-    g = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(order, "_l"))).alias("_r"))
-    return g.select("doc_id", F.concat(F.lit(head), F.array_join(F.col("_r._l"), sep), F.lit(tail)).alias("text"))
+        return line, head, "\n", "\n  </fields>\n</xfdf>\n"
+    values = F.array_join(F.transform(value, lambda v: F.concat(F.lit("      "), json_string(v))), ",\n")
+    arr = F.when(F.size(value) == 0, "[]").otherwise(F.concat(F.lit("[\n"), values, F.lit("\n    ]")))
+    line = F.concat(F.lit('  {\n    "name": '), json_string(name), F.lit(',\n    "type": '), json_string(kind), F.lit(',\n    "value": '), arr, F.lit("\n  }"))
+    return line, "[\n", ",\n", "\n]"
+
+
+def form_rows(data: DataFrame, fmt: str, order: str) -> DataFrame:
+    """``(doc_id, order, row)``: one piece of text per field; push-buttons hold no data."""
+    return data.filter(F.col("kind") != "pushbutton").select("doc_id", order, form_file_format(fmt)[0].alias("row"))
+
+
+def write_form_data(data: DataFrame, fmt: str, order: str) -> DataFrame:
+    """One file's text per document as a value; ``sinks.write_form_files`` writes files without gathering a document."""
+    _, head, sep, tail = form_file_format(fmt)
+    g = form_rows(data, fmt, order).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(order, "row"))).alias("_r"))
+    return g.select("doc_id", F.concat(F.lit(head), F.array_join(F.col("_r.row"), sep), F.lit(tail)).alias("text"))

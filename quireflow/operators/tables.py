@@ -222,8 +222,8 @@ def table_html(cells: DataFrame, pars: DataFrame) -> DataFrame:
 PX_PER_POINT = 96.0 / 72.0
 
 
-def blocks_to_html(blocks: DataFrame, tables: DataFrame, folder: str = "images", sizes: DataFrame | None = None) -> DataFrame:
-    """One HTML string per page in block order; images are numbered through their document.
+def block_html(blocks: DataFrame, tables: DataFrame, folder: Column | str = "images", sizes: DataFrame | None = None) -> DataFrame:
+    """``html`` of each block; images are numbered through their document and linked in ``folder``.
 
     ``sizes`` has each image's drawn ``width_points`` and ``height_points``.
     """
@@ -241,10 +241,31 @@ def blocks_to_html(blocks: DataFrame, tables: DataFrame, folder: str = "images",
         px = lambda c: F.format_string("%.0f", F.greatest(F.col(c) * PX_PER_POINT, F.lit(1.0)))
         drawn = F.concat(F.lit(' width="'), px("width_points"), F.lit('" height="'), px("height_points"), F.lit('"'))
     name = F.format_string("image-%03d.png", F.col("image_index") + 1)
-    img = F.concat(F.lit('<p><img src="'), encode_segment(F.lit(folder)), F.lit("/"), name, F.lit('"'), drawn, F.lit(' alt=""></p>'))
+    img = F.concat(F.lit('<p><img src="'), encode_segment(F.lit(folder) if isinstance(folder, str) else folder), F.lit("/"), name, F.lit('"'), drawn, F.lit(' alt=""></p>'))
     html = F.when(F.col("kind") == "paragraph", paragraph_html(F.col("heading"), F.col("runs"))).when(F.col("kind") == "table", F.col("_t")).otherwise(img)
-    g = j.select(*PAGE, "block_no", html.alias("h")).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("block_no", "h"))).alias("_b"))
-    return g.select(*PAGE, F.array_join(F.transform("_b", lambda s: s["h"]), "\n").alias("html"))
+    return j.select(*PAGE, "block_no", html.alias("html"))
+
+
+def blocks_to_html(blocks: DataFrame, tables: DataFrame, folder: str = "images", sizes: DataFrame | None = None) -> DataFrame:
+    """One HTML string per page in block order; see :func:`block_html`."""
+    h = block_html(blocks, tables, folder, sizes)
+    g = h.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("block_no", "html"))).alias("_b"))
+    return g.select(*PAGE, F.array_join(F.transform("_b", lambda s: s["html"]), "\n").alias("html"))
+
+
+#: Reading style of an exported page; it loads nothing from anywhere.
+PAGE_STYLE = "body{font-family:serif;line-height:1.4;margin:1.5em auto;max-width:44em}td{border:1px solid #888;padding:.25em .5em}img{max-width:100%;height:auto}"
+
+
+def html_frame(title: Column, stem: Column) -> tuple[Column, Column]:
+    """What stands before and after the blocks of an HTML file; a blank title gives way to the file's stem, and that to ``Document``."""
+    filled = lambda c: F.when(F.trim(c) != "", c)
+    shown = xml_escape(F.coalesce(filled(title), filled(stem), F.lit("Document")))
+    head = F.concat(
+        F.lit('<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<meta name="viewport" content="width=device-width, initial-scale=1">\n<title>'),
+        shown, F.lit(f"</title>\n<style>{PAGE_STYLE}</style>\n</head>\n<body>\n"),
+    )
+    return head, F.lit("</body>\n</html>\n")
 
 
 def block_counts(blocks: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import annotations as A
 from ..operators import forms as M
 from ..operators import hierarchy as H
+from ..session import checkpoint_dir
+from ..sources import sinks
+from ..sources.ordered import read_whole
 from .registry import query
 from .views import KINDS, SQL_VIEWS
 
@@ -87,17 +92,29 @@ def _dated(v):
     return v.annotations().withColumns({"date": d, "rect": r})
 
 
-@query("annotations_to_xfdf", "K5", """
+_ELEMENTS = """
     WITH e AS (SELECT *, replace(replace(replace(replace(replace(contents, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS c,
       CASE kind WHEN 'note' THEN 'text' WHEN 'rectangle' THEN 'square' WHEN 'ellipse' THEN 'circle' ELSE kind END AS el FROM annotations WHERE kind <> 'measure')
-    SELECT doc_id, page, count(*) AS written, sha256(string_agg('<' || el || ' page="' || page || '" rect="' || seq || ',' || page * 10 || ',' || (seq + 0.5)::DECIMAL(10,1) || ',792" title="' || author || '" name="' || id || '"'
+    SELECT doc_id, page, seq, '<' || el || ' page="' || page || '" rect="' || seq || ',' || page * 10 || ',' || (seq + 0.5)::DECIMAL(10,1) || ',792" title="' || author || '" name="' || id || '"'
       || CASE WHEN modified IS NULL THEN '' ELSE ' date="D:' || strftime(make_timestamp(modified * 1000), '%Y%m%d%H%M%S') || '"' END
-      || CASE WHEN in_reply_to IS NULL THEN '' ELSE ' inreplyto="' || in_reply_to || '"' END || '><contents>' || c || '</contents></' || el || '>', chr(10) ORDER BY seq)) AS digest
-    FROM e GROUP BY doc_id, page""", "annotations")
+      || CASE WHEN in_reply_to IS NULL THEN '' ELSE ' inreplyto="' || in_reply_to || '"' END || '><contents>' || c || '</contents></' || el || '>' AS element FROM e"""
+
+
+@query("annotations_to_xfdf", "K5", f"""
+    SELECT doc_id, page, count(*) AS written, sha256(string_agg(element, chr(10) ORDER BY seq)) AS digest FROM ({_ELEMENTS}) GROUP BY doc_id, page""", "annotations")
 def annotations_to_xfdf(v):
     return A.annotations_to_xfdf(_dated(v)).select("doc_id", "page", "written", F.sha2("annots", 256).alias("digest"))
 
 
+@query("xfdf_files", "K5", f"""
+    SELECT doc_id || '.xfdf' AS file_name, length(text) AS chars, sha256(text) AS digest FROM (
+      SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">' || chr(10) || '<annots>' || chr(10)
+             || string_agg(element, chr(10) ORDER BY page, seq) || chr(10) || '</annots>' || chr(10) || '</xfdf>' || chr(10) AS text
+      FROM ({_ELEMENTS}) GROUP BY doc_id)""", "annotations")
+def xfdf_files(v):
+    return _written(v, lambda path: sinks.write_xfdf(_dated(v), path))
+
+
 @query("parse_xfdf_annotations", "S13 F17", """
     SELECT doc_id, id AS name, page, author, contents, in_reply_to, seq + 0.5::DOUBLE AS x1, CASE WHEN modified IS NOT NULL THEN 'D:' || strftime(make_timestamp(modified * 1000), '%Y%m%d%H%M%S') END AS date,
            CASE kind WHEN 'note' THEN 'text' WHEN 'rectangle' THEN 'square' WHEN 'ellipse' THEN 'circle' ELSE kind END AS element FROM annotations WHERE kind <> 'measure'""", "annotations")
@@ -215,28 +232,68 @@ def clear_by_kind(v):
     return M.clear_by_kind(v.annotations(), ["highlight", "ink"]).select("doc_id", "id")
 
 
+def _valued(v):
+    return M.with_kind(v.fields()).withColumn("value", F.transform("value", lambda x: F.concat(x, F.lit(', "<&>'), F.lit("'"))))
+
+
 def _files(v, fmt):
-    return M.write_form_data(M.with_kind(v.fields()).withColumn("value", F.transform("value", lambda x: F.concat(x, F.lit(', "<&>'), F.lit("'")))), fmt, "seq")
+    return M.write_form_data(_valued(v), fmt, "seq")
 
 
 _VAL = """[x || ', "<&>''' FOR x IN value]"""
 
 
-@query("write_form_csv", "K4 F11", f"""
+_CSV = f"""
     SELECT doc_id, 'name,type,value' || chr(10) || string_agg(name || ',' || kind || ',' || CASE WHEN len(value) = 0 THEN '' ELSE '"' || replace(array_to_string({_VAL}, ';'), '"', '""') || '"' END, chr(10) ORDER BY seq) || chr(10) AS text
-    FROM field_kinds WHERE kind <> 'pushbutton' GROUP BY doc_id""", "field_kinds")
+    FROM field_kinds WHERE kind <> 'pushbutton' GROUP BY doc_id"""
+_JSON = f"""
+    SELECT doc_id, '[' || chr(10) || string_agg('  {{' || chr(10) || '    "name": "' || name || '",' || chr(10) || '    "type": "' || kind || '",' || chr(10) || '    "value": '
+      || CASE WHEN len(value) = 0 THEN '[]' ELSE '[' || chr(10) || '      "' || replace(array_to_string({_VAL}, ''), '"', '\\"') || '"' || chr(10) || '    ]' END || chr(10) || '  }}', ',' || chr(10) ORDER BY seq) || chr(10) || ']' AS text
+    FROM field_kinds WHERE kind <> 'pushbutton' GROUP BY doc_id"""
+_XFDF = f"""
+    SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<xfdf xmlns="http://ns.adobe.com/xfdf/" xml:space="preserve">' || chr(10) || '  <fields>' || chr(10)
+      || string_agg('    <field name="' || name || '">' || chr(10) || CASE WHEN len(value) = 0 THEN '' ELSE '      <value>'
+        || replace(replace(replace(replace(array_to_string({_VAL}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;').replace('''', '&apos;') || '</value>' || chr(10) END || '    </field>', chr(10) ORDER BY seq)
+      || chr(10) || '  </fields>' || chr(10) || '</xfdf>' || chr(10) AS text
+    FROM field_kinds WHERE kind <> 'pushbutton' GROUP BY doc_id"""
+
+
+@query("write_form_csv", "K4 F11", _CSV, "field_kinds")
 def write_form_csv(v):
     return _files(v, "csv")
 
 
-@query("write_form_json", "K4", f"""
-    SELECT doc_id, '[' || chr(10) || string_agg('  {{' || chr(10) || '    "name": "' || name || '",' || chr(10) || '    "type": "' || kind || '",' || chr(10) || '    "value": '
-      || CASE WHEN len(value) = 0 THEN '[]' ELSE '[' || chr(10) || '      "' || replace(array_to_string({_VAL}, ''), '"', '\\"') || '"' || chr(10) || '    ]' END || chr(10) || '  }}', ',' || chr(10) ORDER BY seq) || chr(10) || ']' AS text
-    FROM field_kinds WHERE kind <> 'pushbutton' GROUP BY doc_id""", "field_kinds")
+@query("write_form_json", "K4", _JSON, "field_kinds")
 def write_form_json(v):
     return _files(v, "json")
 
 
+def _written(v, write):
+    """Files that ``write`` makes in the shared folder, read back as digests."""
+    path = f"{checkpoint_dir(v.spark)}/files_{uuid.uuid4().hex}"
+    write(path)
+    return read_whole(v.spark, path).select("file_name", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+def _file_sql(text, extension):
+    return f"SELECT doc_id || '.{extension}' AS file_name, length(text) AS chars, sha256(text) AS digest FROM ({text})"
+
+
+@query("form_files_csv", "K4", _file_sql(_CSV, "csv"), "field_kinds")
+def form_files_csv(v):
+    return _written(v, lambda path: sinks.write_form_files(_valued(v), path, "csv", "seq"))
+
+
+@query("form_files_json", "K4", _file_sql(_JSON, "json"), "field_kinds")
+def form_files_json(v):
+    return _written(v, lambda path: sinks.write_form_files(_valued(v), path, "json", "seq"))
+
+
+@query("form_files_xfdf", "K4", _file_sql(_XFDF, "xfdf"), "field_kinds")
+def form_files_xfdf(v):
+    return _written(v, lambda path: sinks.write_form_files(_valued(v), path, "xfdf", "seq"))
+
+
 def _parsed_sql(kind):
     return f"SELECT doc_id, name, {kind} AS kind, array_to_string({_VAL}, '|') AS value FROM field_kinds WHERE kind <> 'pushbutton'"
 

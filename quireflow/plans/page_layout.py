@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import tables as T
+from ..session import checkpoint_dir
+from ..sources import sinks
+from ..sources.ordered import read_whole
 from .registry import query
 from .views import SQL_VIEWS
 
@@ -297,8 +302,104 @@ def block_counts(v):
     return T.block_counts(blocks(v))
 
 
-@query("blocks_html", "K3")
-def blocks_html(v):
+def runs_sql(ordered: str, lines: str) -> str:
+    """Neighbouring words of one style as one HTML run."""
+    esc = "text"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")):
+        esc = f"replace({esc}, '{a}', '{b}')"
+    return f"""
+    SELECT doc_id, page_no, par_no, heading, run, CASE WHEN bold THEN '<strong>' ELSE '' END || CASE WHEN italic THEN '<em>' ELSE '' END || {esc}
+           || CASE WHEN italic THEN '</em>' ELSE '' END || CASE WHEN bold THEN '</strong>' ELSE '' END AS html FROM (
+      SELECT doc_id, page_no, par_no, heading, run, any_value(bold) AS bold, any_value(italic) AS italic, string_agg(text || sep, '' ORDER BY column_no, line_no, seq) AS text FROM (
+        SELECT *, CASE WHEN nl IS NULL THEN '' WHEN nl <> line_no OR nc <> column_no OR same THEN ' ' ELSE '' END AS sep,
+               sum(CASE WHEN before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no, par_no ORDER BY column_no, line_no, seq) AS run
+        FROM (SELECT o.*, par_no, heading, lead(o.line_no) OVER w AS nl, lead(o.column_no) OVER w AS nc,
+                     lead(bold) OVER w = bold AND lead(italic) OVER w = italic AND lead(round(o.size * 10)) OVER w = round(o.size * 10) AS same,
+                     coalesce(lag(bold) OVER w = bold AND lag(italic) OVER w = italic AND lag(round(o.size * 10)) OVER w = round(o.size * 10), false) AS before
+              FROM {ordered} o JOIN {lines} l ON o.doc_id = l.doc_id AND o.page_no = l.page_no AND o.column_no = l.column_no AND o.line_no = l.line_no
+              WINDOW w AS (PARTITION BY o.doc_id, o.page_no, par_no ORDER BY o.column_no, o.line_no, o.seq)))
+      GROUP BY ALL)"""
+
+
+def paragraph_html_sql(runs: str) -> str:
+    tag = "CASE WHEN heading IS NULL THEN 'p' ELSE 'h' || heading END"
+    return f"SELECT doc_id, page_no, par_no, '<' || {tag} || '>' || string_agg(html, '' ORDER BY run) || '</' || {tag} || '>' AS html FROM {runs} GROUP BY doc_id, page_no, par_no, heading"
+
+
+SQL_VIEWS.update({
+    "out_runs": (("out_ordered", "out_lines"), runs_sql("out_ordered", "out_lines")),
+    "out_html": (("out_runs",), paragraph_html_sql("out_runs")),
+    # Each cell as a page of its own.
+    "cell_ordered": (("in_cells",), """
+        SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, column_no, line_no ORDER BY "left") - 1 AS seq FROM (
+          SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no, column_no ORDER BY grid_row) - 1 AS line_no FROM (
+            SELECT * EXCLUDE (island), CASE WHEN max(island) OVER (PARTITION BY doc_id, page_no) BETWEEN 1 AND 3 THEN island ELSE 0 END AS column_no FROM (
+              SELECT *, sum(CASE WHEN "left" > reach + 36 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY "left", run_no) AS island FROM (
+                SELECT *, max("right") OVER (PARTITION BY doc_id, page_no ORDER BY "left", run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+                FROM (SELECT * REPLACE (page_no * 10000 + row_no * 100 + col_no AS page_no) FROM in_cells)))))"""),
+    "cell_boxes": (("cell_ordered",), """
+        SELECT doc_id, page_no, column_no, line_no, min(top) AS top, max(bottom) AS bottom, min("left") AS "left", max("right") AS "right",
+               max(size) AS size FROM cell_ordered GROUP BY ALL"""),
+    "cell_lines": (("cell_boxes", "body", "heads"), f"""
+        SELECT * REPLACE (NULL::BIGINT AS heading, sum(CAST(geo_starts AS INT)) OVER (PARTITION BY doc_id, page_no ORDER BY column_no, line_no) - 1 AS par_no)
+        FROM ({lines_sql("cell_boxes")})"""),
+    "cell_runs": (("cell_ordered", "cell_lines"), runs_sql("cell_ordered", "cell_lines")),
+    "cell_html": (("cell_runs",), paragraph_html_sql("cell_runs")),
+    "table_html": (("grid", "cell_html"), """
+        SELECT doc_id, page_no, '<table><tbody>' || string_agg('<tr>' || tds || '</tr>', '' ORDER BY row_no) || '</tbody></table>' AS html FROM (
+          SELECT g.doc_id, g.page_no, row_no, string_agg('<td>' || coalesce(h.html, '') || '</td>', '' ORDER BY col_no) AS tds
+          FROM grid g LEFT JOIN (SELECT doc_id, page_no, string_agg(html, '' ORDER BY par_no) AS html FROM cell_html GROUP BY ALL) h
+            ON h.doc_id = g.doc_id AND h.page_no = g.page_no * 10000 + row_no * 100 + col_no GROUP BY ALL) GROUP BY ALL"""),
+    "block_html": (("blocks", "out_html", "table_html"), """
+        SELECT b.doc_id, b.page_no, block_no, CASE kind WHEN 'paragraph' THEN p.html WHEN 'table' THEN t.html END AS html,
+               CASE WHEN kind = 'image' THEN row_number() OVER (PARTITION BY b.doc_id, kind ORDER BY b.page_no, block_no) END AS image
+        FROM blocks b LEFT JOIN out_html p ON kind = 'paragraph' AND p.doc_id = b.doc_id AND p.page_no = b.page_no AND p.par_no = b.no
+        LEFT JOIN table_html t ON t.doc_id = b.doc_id AND t.page_no = b.page_no"""),
+})
+
+
+def _tables_html(v):
     runs = plain_runs(v)
     cells = T.table_cells(T.detect_tables(T.usable_rules(v.rules())))
-    return T.blocks_to_html(blocks(v), T.table_html(cells, T.cell_paragraphs(runs, cells)))
+    return T.table_html(cells, T.cell_paragraphs(runs, cells))
+
+
+@query("blocks_html", "K3", """
+    SELECT doc_id, page_no, string_agg(coalesce(html, '<p><img src="images/image-' || lpad(image::VARCHAR, 3, '0') || '.png" alt=""></p>'), chr(10) ORDER BY block_no) AS html
+    FROM block_html GROUP BY ALL""", "block_html")
+def blocks_html(v):
+    return T.blocks_to_html(blocks(v), _tables_html(v))
+
+
+def _read_back(v, write):
+    path = f"{checkpoint_dir(v.spark)}/files_{uuid.uuid4().hex}"
+    write(path)
+    return read_whole(v.spark, path)
+
+
+@query("html_files", "K3", f"""
+    WITH b AS (SELECT doc_id, string_agg(coalesce(html, '<p><img src="My%20doc%20' || doc_id || '_files/image-' || lpad(image::VARCHAR, 3, '0') || '.png" width="' || (96 + page_no) || '" height="48" alt=""></p>')
+                                         || chr(10), '' ORDER BY page_no, block_no) AS body FROM block_html GROUP BY doc_id)
+    SELECT 'My doc ' || doc_id || '.html' AS file_name, length(text) AS chars, sha256(text) AS digest FROM (
+      SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10)
+             || '<meta name="viewport" content="width=device-width, initial-scale=1">' || chr(10) || '<title>'
+             || CASE doc_id % 3 WHEN 0 THEN source || ' &amp; &lt;' || doc_id || '&gt;' ELSE 'My doc ' || doc_id END || '</title>' || chr(10)
+             || '<style>{T.PAGE_STYLE}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || coalesce(body, '') || '</body>' || chr(10) || '</html>' || chr(10) AS text
+      FROM documents LEFT JOIN b USING (doc_id))""", "block_html")
+def html_files(v):
+    third = F.col("doc_id") % 3
+    title = F.when(third == 0, F.concat("source", F.lit(" & <"), "doc_id", F.lit(">"))).when(third == 1, " ")
+    docs = v.table("documents", "doc_id", "source").select("doc_id", title.alias("title"))
+    sizes = images(v).withColumns({"width_points": 72 + F.col("page_no") * 0.75, "height_points": F.lit(36.0)})
+    stem = F.concat(F.lit("My doc "), F.col("doc_id").cast("string"))
+    back = _read_back(v, lambda path: sinks.write_html(docs, blocks(v), _tables_html(v), path, stem, sizes=sizes))
+    return back.select(F.url_decode("file_name").alias("file_name"), F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+@query("write_text", "K2", """
+    WITH p AS (SELECT doc_id, page_no, coalesce(t.text, '') AS text FROM doc_pages LEFT JOIN page_text t USING (doc_id, page_no))
+    SELECT doc_id || '.txt' AS file_name, length(text) AS chars, sha256(text) AS digest FROM (
+      SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM p GROUP BY doc_id)""", "doc_pages page_text")
+def write_text(v):
+    back = _read_back(v, lambda path: sinks.write_text(L.document_text_parts(_page_texts(v)), path, "part", order=["page_no"]))
+    return back.select("file_name", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))

@@ -209,14 +209,3 @@ def write_parts(v):
     sinks.write_parts(P.part_names(P.split_every_n(v.page_keys(), 2), "set").select("doc_id", "page_no", "part_name"), path)
     back = v.spark.read.schema("page_no long, doc_id long, part_name string").parquet(path)
     return back.groupBy("doc_id", "part_name").agg(F.count(F.lit(1)).alias("pages"), F.min("page_no").alias("first"))
-
-
-@query("write_text", "K2", "SELECT doc_id, length(text) AS chars, sha256(text) AS digest FROM (SELECT doc_id, string_agg(url, chr(10) ORDER BY page_id) AS text FROM (SELECT page_id % 50 AS doc_id, page_id, url FROM pages) GROUP BY doc_id)")
-def write_text(v):
-    path = f"{checkpoint_dir(v.spark)}/texts_{uuid.uuid4().hex}"
-    p = v.table("pages", "page_id", "url").select((F.col("page_id") % 50).alias("doc_id"), "page_id", "url")
-    lines = F.sort_array(F.collect_list(F.struct("page_id", "url")))["url"]
-    sinks.write_text(p.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text")), path)
-    back = v.spark.read.schema("value string, doc_id long").option("wholetext", "true").text(path)
-    text = F.regexp_replace("value", r"\n\z", "")  # the writer ends each row with a line feed
-    return back.select("doc_id", F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("digest"))

@@ -14,6 +14,7 @@ from quireflow.operators import redaction as D
 from quireflow.operators import reports as R
 from quireflow.operators import retrieval as K
 from quireflow.sources import files, html, sinks
+from quireflow.sources.ordered import read_whole
 from quireflow.streaming import history as H
 from quireflow.streaming import jobs as J
 from quireflow.streaming import windows as W
@@ -96,8 +97,9 @@ def test_verified_write_leaves_the_target_when_the_stage_is_bad(spark, tmp_path)
 
 
 def test_text_sink_and_parts(spark, tmp_path):
-    sinks.write_text(spark.createDataFrame([(1, "é"), (2, "b")], "doc_id long, text string"), str(tmp_path / "x"))
-    assert {tuple(r) for r in spark.read.text(str(tmp_path / "x")).collect()} == {("é", 1), ("b", 2)}
+    rows = spark.createDataFrame([(1, 1, "é\n"), (2, 0, "b"), (1, 0, "first\n\n")], "doc_id long, page_no long, text string")
+    sinks.write_text(rows, str(tmp_path / "x"), order=["page_no"])
+    assert {tuple(r) for r in read_whole(spark, str(tmp_path / "x")).collect()} == {("1.txt", "first\n\né\n"), ("2.txt", "b")}
     assert value(spark, sinks.image_name("pic", "id", "png").alias("n")) == "pic-001.png"
 
 
