@@ -16,7 +16,6 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,7 +26,7 @@ SCALE, OFFSET = 64, 1_000_000
 COMPONENTS, GUARD = 32, 16
 #: Entries beyond this many steps of 1/64 count as this many, so that sums of a block fit a long.
 FARTHEST = 1 << 45
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 32 << 20
 #: Residuals as a share of the largest eigenvalue: sought, and accepted if rounding allows no better. Eigenvalues under ``FLAT`` of it count as zero.
 SOUGHT, ACCEPTED, FLAT = 3e-14, 1e-11, 1e-12
 LANCZOS, ROUNDS, MOST_DEGREE = 10, 60, 24
@@ -80,23 +79,38 @@ def pack(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     rows = embeddings.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(sound, F.lit(False)))
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    width, count = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    width = width or 0
     id_type = dict(rows.dtypes)["id"]
     schema = f"ids array<{id_type}>, x binary, wide boolean"
     out = _arrow(embeddings.sparkSession, schema)
     most = max(1, BLOCK_BYTES // (8 * max(1, width)))
 
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        c = np.concatenate([part.column(1).flatten().to_numpy(zero_copy_only=False) for part in rows])
+        x = np.clip(np.floor(SCALE * c), -FARTHEST, FARTHEST)
+        wide = bool(len(x) and np.abs(x).max() >= 1 << 31)
+        held = pa.concat_arrays([part.column(0) for part in rows])
+        ids = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held).cast(out.field("ids").type)
+        return pa.RecordBatch.from_arrays([ids, pa.array([x.astype(np.int64 if wide else np.int32).tobytes()], pa.binary()), pa.array([wide])], schema=out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
-                c = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                x = np.clip(np.floor(SCALE * c), -FARTHEST, FARTHEST)
-                wide = bool(len(x) and np.abs(x).max() >= 1 << 31)
-                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)).cast(out.field("ids").type)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.astype(np.int64 if wide else np.int32).tobytes()], pa.binary()), pa.array([wide])], schema=out)
+                if held and n + part.num_rows > most:
+                    yield block(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield block(held)
 
-    return Blocks(checkpointed(rows.where(F.size("v") == width).mapInArrow(run, schema)), width, id_type)
+    # Every step reads all blocks, so they lie in as many partitions as their bytes call for, whatever the input's files.
+    parts = max(embeddings.sparkSession.sparkContext.defaultParallelism, -(-8 * width * count // PART_BYTES))
+    whole = rows.where(F.size("v") == width).coalesce(parts)
+    return Blocks(checkpointed(whole.mapInArrow(run, schema)), width, id_type)
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -114,16 +128,16 @@ def _total(blocks: Blocks, of_block: Callable[[np.ndarray], np.ndarray], length:
         total = np.zeros(length)
         for _, x in _matrices(batches, width):
             total += of_block(x.astype(np.float64))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "total": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(length)
         for batch in batches:
-            for data in batch.column(1):
+            for data in batch.column(0):
                 total += np.frombuffer(data.as_py())
         yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
-    sums = blocks.rows.mapInArrow(partial, "part int, total binary").repartition(math.isqrt(blocks.parts) or 1, "part").mapInArrow(add, "total binary")
+    sums = blocks.rows.mapInArrow(partial, "total binary").repartition(math.isqrt(blocks.parts) or 1).mapInArrow(add, "total binary")
     return sum((np.frombuffer(r["total"]) for r in sums.collect()), np.zeros(length))
 
 
