@@ -11,6 +11,7 @@ from ..operators.reports import recovery_list
 from ..session import checkpoint_dir
 from ..streaming import history as H
 from ..streaming import jobs as J
+from ..streaming import sessions as N
 from ..streaming import windows as W
 from .registry import query
 from .text_search import ALL
@@ -49,6 +50,14 @@ def edit_history_stream(v):
     return J.drain(H.edit_history_stream(_events(v, v.stream("events"))))
 
 
+@query("edit_history_event_time", "M1 M2", """
+    SELECT h.* FROM history h JOIN edit_events e USING (doc_id, event_id)
+    WHERE (epoch_us(e.ts) // 60000000 + 1) * 60000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM edit_events)""", "edit_events history")
+def edit_history_event_time(v):
+    # Whole minutes that lie ten minutes before the last event.
+    return J.drain(H.edit_history_event_time(_events(v, v.stream("events"))))
+
+
 _EVERY = 6 * 3600
 
 
@@ -99,7 +108,8 @@ def open_documents(v):
 
 @query("open_documents_stream", "M5", "SELECT * FROM open_docs", "open_docs")
 def open_documents_stream(v):
-    return J.drain(W.open_documents(_doc_events(v, v.stream("events"))), "complete").withColumn("since", _stamp("since"))
+    changes = N.open_document_changes(_doc_events(v, v.stream("events")))
+    return N.drain_upserted(changes, ["doc_id"], "deleted").withColumn("since", _stamp("since"))
 
 
 @query("watch_folder", "M6", "SELECT doc_id, count(*) AS hits FROM hit_list GROUP BY doc_id", "hit_list")
@@ -142,7 +152,9 @@ def pattern_windows(v):
 
 @query("pattern_windows_stream", "M8", "SELECT * FROM hit_windows", "hit_windows")
 def pattern_windows_stream(v):
-    return J.drain(W.pattern_counts(_timed_hits(v, v.stream("documents"))), "complete").withColumn("from_ts", _stamp("from_ts"))
+    # A trigger writes the windows it changed; those the watermark has passed leave the state.
+    counts = W.pattern_counts(_timed_hits(v, v.stream("documents")))
+    return N.drain_upserted(counts, ["from_ts", "kind"]).withColumn("from_ts", _stamp("from_ts"))
 
 
 @query("edit_epochs", "W15", """

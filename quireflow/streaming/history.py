@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .windows import LATE
+
 MAX_DEPTH = 100
 MAX_BYTES = 256 << 20
 
@@ -50,12 +52,13 @@ class History:
     def row(self) -> tuple:
         return bool(self.undo), bool(self.redo), self.current, self.current != self.saved, len(self.undo)
 
+    def walked(self, op: str, heap_bytes: int) -> tuple:
+        self.step(op, heap_bytes)
+        return self.row()
+
     def apply(self, pdf: pd.DataFrame) -> list[tuple]:
-        out = []
-        for doc, event, op, size in zip(pdf["doc_id"], pdf["event_id"], pdf["op"], pdf["heap_bytes"]):
-            self.step(op, int(size))
-            out.append((doc, event, *self.row()))
-        return out
+        rows = zip(pdf["doc_id"], pdf["event_id"], pdf["op"], pdf["heap_bytes"])
+        return [(doc, event, *self.walked(op, int(size))) for doc, event, op, size in rows]
 
 
 _COLUMNS = ["doc_id", "event_id", "can_undo", "can_redo", "state_id", "dirty", "undo_depth"]
@@ -111,3 +114,70 @@ def edit_history_stream(events: DataFrame) -> DataFrame:
     return cols.groupBy("doc_id").transformWithStateInPandas(
         statefulProcessor=HistoryProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
+
+
+#: Event time that is held back and put in order together.
+SLICE_MS = 60_000
+_EVENT = "array<struct<ts:bigint,event_id:bigint,op:string,bytes:bigint>>"
+
+
+class OrderedHistoryProcessor(StatefulProcessor):
+    """History in event time: events wait in slices of a minute until the watermark has passed the slice, and are then walked in order.
+
+    State of a document: its bounded history, the events of slices that are still open, and the list of those slices. An event
+    of a slice that was walked already is late and dropped, in whichever trigger it comes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("history", _STATE)
+        self.slices = handle.getMapState("slices", "slice bigint", f"events {_EVENT}")
+        self.open = handle.getValueState("open", "slices array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting: dict[int, list[tuple]] = {}
+        for pdf in rows:
+            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+            for ts, event, op, size in zip(micros, pdf["event_id"], pdf["op"], pdf["heap_bytes"]):
+                k = int(ts) // (SLICE_MS * 1000)
+                if (k + 1) * SLICE_MS > passed:
+                    waiting.setdefault(k, []).append((int(ts), int(event), op, int(size)))
+        known = set(self.open.get()[0]) if self.open.exists() else set()
+        for k, events in waiting.items():
+            held = [tuple(e) for e in self.slices.getValue((k,))[0]] if k in known else []
+            self.slices.updateValue((k,), (held + events,))
+            if k not in known:
+                self.handle.registerTimer((k + 1) * SLICE_MS)
+        if waiting:
+            self.open.update((sorted(known | set(waiting)),))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        known = self.open.get()[0] if self.open.exists() else []
+        due = [k for k in known if (k + 1) * SLICE_MS <= passed]
+        history = History(*self.state.get()) if self.state.exists() else History()
+        for k in due:
+            events = sorted(tuple(e) for e in self.slices.getValue((k,))[0])
+            yield pd.DataFrame([(key[0], event, *history.walked(op, size)) for _, event, op, size in events], columns=_COLUMNS)
+            self.slices.removeKey((k,))
+        if due:
+            self.state.update((history.current, history.next, history.saved, history.undo, history.redo))
+            rest = known[len(due) :]
+            self.open.update((rest,)) if rest else self.open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def edit_history_event_time(events: DataFrame, late: str = LATE) -> DataFrame:
+    """The history after each event, in event time: the same rows in any order over any number of triggers give what :func:`edit_history` gives.
+
+    A minute's events come out once the watermark, ``late`` behind the latest event, has passed that minute; what arrives for it later is dropped. Needs the
+    RocksDB state store (``session.configure``).
+    """
+    cols = events.select("doc_id", "event_id", "ts", "op", "heap_bytes").withWatermark("ts", late)
+    return cols.groupBy("doc_id").transformWithStateInPandas(
+        statefulProcessor=OrderedHistoryProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+    )
