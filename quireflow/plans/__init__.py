@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("layout_views", "text_search", "page_layout", "page_algebra", "forms_comments", "web_sources", "reports", "edit_streams", "scalar_functions")
+_MODULES = ("layout_views", "text_search", "page_layout", "page_algebra", "assembling", "forms_comments", "web_sources", "reports", "edit_streams", "scalar_functions")
 
 
 def _load():
