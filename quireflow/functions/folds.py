@@ -61,6 +61,23 @@ def fold_collect(
     )
 
 
+def bisect(sorted_array: Column, x: Column, right: bool = False) -> Column:
+    """How many entries of a sorted array are below ``x`` (with ``right``, at most ``x``): halved step by step, not scanned."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_array) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        at = F.get(sorted_array, middle)
+        below = at <= x if right else at < x
+        closed = acc["lo"] >= acc["hi"]
+        lo = F.when(closed | ~below, acc["lo"]).otherwise(middle + 1)
+        hi = F.when(closed | below, acc["hi"]).otherwise(middle)
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(sorted_array).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
+
+
 def each(df: DataFrame, keep: list, array: Column, item: str, pos: str = "_pos") -> DataFrame:
     """One row per array element, with its position.
 

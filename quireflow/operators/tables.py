@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import each
+from ..functions.folds import bisect, each, fold_collect, let
 from .layout import PAGE, join_pieces, paragraph_breaks, paragraphs, reading_lines
 
 TOLERANCE = 2.0
@@ -33,10 +33,10 @@ def usable_rules(rules: DataFrame, minimum: float = MIN_RULE) -> DataFrame:
     return rules.filter(F.abs(F.col("hi") - F.col("lo")) >= minimum)
 
 
-def cluster_positions(positions: str, tol: float = TOLERANCE) -> Column:
+def cluster_positions(positions: Column, tol: float = TOLERANCE) -> Column:
     """Sorted positions; one within ``tol`` of the last *kept* position folds into it."""
-    near = f"size(a) > 0 AND abs(x - element_at(a, -1)) <= {tol}D"
-    return F.expr(f"aggregate(sort_array({positions}), CAST(array() AS array<double>), (a, x) -> if({near}, a, concat(a, array(x))))")
+    step = lambda last, x: (F.when(last.isNull() | (F.abs(x - last) > tol), x).otherwise(last), F.when(last.isNull() | (F.abs(x - last) > tol), x))
+    return fold_collect(F.sort_array(positions), F.lit(None), "double", "double", step)
 
 
 def group_rules(rules: DataFrame) -> DataFrame:
@@ -49,28 +49,42 @@ def group_rules(rules: DataFrame) -> DataFrame:
     return v.withColumn("group_no", island.cast("long")).drop("_new")
 
 
+def page_tables(rules: DataFrame) -> DataFrame:
+    """One row per page with ruled grids: ``tables``, an array of ``columns`` and ``rows`` positions, in order of their groups.
+
+    A page's rules become one array in one exchange; grouping, clustering and matching then happen in place.
+    """
+    h = F.col("horizontal")
+    rule = F.struct(F.least("lo", "hi").alias("s"), "position", F.greatest("lo", "hi").alias("e"))
+    of_page = rules.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(~h, rule))).alias("_v"), F.collect_list(F.when(h, rule)).alias("_h"))
+    enough = of_page.filter("size(_v) >= 3 AND size(_h) >= 3")
+
+    def step(state: Column, v: Column) -> tuple[Column, Column]:
+        apart = state["reach"].isNull() | (v["s"] > state["reach"] - TOLERANCE)
+        return F.struct(F.greatest(state["reach"], v["e"]).alias("reach"), (state["i"] + 1).alias("i")), F.when(apart, state["i"])
+
+    begin = F.struct(F.lit(None).cast("double").alias("reach"), F.lit(0).alias("i"))
+    starts = fold_collect(F.col("_v"), begin, "struct<reach: double, i: int>", "int", step)
+    marked = enough.withColumn("_starts", starts)
+    own = "slice(_v, b + 1, coalesce(get(_starts, k + 1), size(_v)) - b)"
+    groups = marked.withColumn("_groups", F.expr(f"transform(_starts, (b, k) -> {own})")).withColumn("_groups", F.expr("filter(_groups, g -> size(g) >= 3)"))
+    shape = F.transform("_groups", lambda g: F.struct(
+        cluster_positions(F.transform(g, lambda v: v["position"])).alias("columns"), F.get(g, F.lit(0))["s"].alias("top"), F.array_max(F.transform(g, lambda v: v["e"])).alias("bottom"),
+    ))
+    shaped = groups.withColumn("_shapes", shape).withColumn("_shapes", F.expr("filter(_shapes, t -> size(t.columns) >= 3 AND element_at(t.columns, -1) > t.columns[0])"))
+    across = (
+        f"filter(_h, y -> y.position >= t.top - {TOLERANCE}D AND y.position <= t.bottom + {TOLERANCE}D AND "
+        f"least(y.e, element_at(t.columns, -1)) - greatest(y.s, t.columns[0]) >= (element_at(t.columns, -1) - t.columns[0]) * {SPAN_SHARE}D)"
+    )
+    ys = shaped.withColumn("_found", F.expr(f"transform(_shapes, t -> named_struct('columns', t.columns, 'ys', transform({across}, y -> y.position)))"))
+    found = F.transform("_found", lambda t: F.struct(t["columns"].alias("columns"), cluster_positions(t["ys"]).alias("rows")))
+    return ys.withColumn("tables", found).select(*PAGE, F.expr("filter(tables, t -> size(t.rows) >= 3)").alias("tables")).filter("size(tables) > 0")
+
+
 def detect_tables(rules: DataFrame) -> DataFrame:
     """One row per ruled grid: ``columns`` and ``rows`` positions."""
-    h = F.col("horizontal")
-    enough = rules.groupBy(*PAGE).agg(F.count_if(h).alias("_h"), F.count_if(~h).alias("_v")).filter("_h >= 3 AND _v >= 3").select(*PAGE)
-    kept = rules.join(enough, PAGE, "left_semi")
-    groups = (
-        group_rules(kept).groupBy(*PAGE, "group_no")
-        .agg(F.collect_list("position").alias("_x"), F.min("_s").alias("_top"), F.max("_e").alias("_bottom"))
-        .withColumn("columns", cluster_positions("_x")).filter("size(columns) >= 3")
-        .withColumns({"_l": F.element_at("columns", 1), "_r": F.element_at("columns", -1)}).filter("_r > _l")
-    )
-    lines = kept.filter("horizontal").select(*PAGE, F.col("position").alias("_y"), F.least("lo", "hi").alias("_from"), F.greatest("lo", "hi").alias("_to"))
-    across = groups.join(lines, PAGE).filter(
-        (F.col("_y") >= F.col("_top") - TOLERANCE) & (F.col("_y") <= F.col("_bottom") + TOLERANCE)
-        & (F.least("_to", "_r") - F.greatest("_from", "_l") >= (F.col("_r") - F.col("_l")) * SPAN_SHARE)
-    )
-    found = (
-        across.groupBy(*PAGE, "group_no").agg(F.first("columns").alias("columns"), F.collect_list("_y").alias("_ys"))
-        .withColumn("rows", cluster_positions("_ys")).filter("size(rows) >= 3")
-    )
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("group_no")) - 1
-    return found.select(*PAGE, number.cast("long").alias("table_no"), "columns", "rows")
+    found = each(page_tables(rules), PAGE, F.col("tables"), "_t", "table_no")
+    return found.select(*PAGE, F.col("table_no").cast("long").alias("table_no"), "_t.columns", "_t.rows")
 
 
 def table_cells(tables: DataFrame) -> DataFrame:
@@ -89,12 +103,29 @@ def _centre() -> tuple[Column, Column]:
     return (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
 
 
-def assign_cells(runs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Runs whose centre lies in a cell, edges included: a centre on a shared edge is in both."""
+def _spans(edges: Column, x: Column) -> Column:
+    """The intervals between sorted ``edges`` that hold ``x``, edges included: none, one, or the two beside a shared edge."""
+    first, last = F.greatest(bisect(edges, x) - 1, F.lit(0)), F.least(bisect(edges, x, right=True), F.size(edges) - 1) - 1
+    return let(F.struct(first.alias("a"), last.alias("b")), lambda i: F.when(i["a"] <= i["b"], F.sequence(i["a"], i["b"])).otherwise(F.array().cast("array<int>")))
+
+
+def assign_cells(runs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Runs with the ``table_no``, ``row_no`` and ``col_no`` of each cell that holds their centre; a centre on a shared edge is in both.
+
+    Pages are matched once, and runs outside the box of a page's tables go at once; the others find their cells by halving the tables' sorted
+    edges, so no run meets a cell it is not in.
+    """
     x, y = _centre()
-    return runs.join(cells, PAGE).filter(
-        x.between(F.col("cell_left"), F.col("cell_right")) & y.between(F.col("cell_top"), F.col("cell_bottom"))
-    )
+    ends = [f(F.element_at(c, i)).alias(n) for n, f, c, i in (("_l", F.min, "columns", 1), ("_r", F.max, "columns", -1), ("_t", F.min, "rows", 1), ("_b", F.max, "rows", -1))]
+    of_page = tables.groupBy(*PAGE).agg(F.collect_list(F.struct("table_no", "columns", "rows")).alias("_tables"), *ends)
+    j = runs.join(of_page, PAGE).filter(x.between(F.col("_l"), F.col("_r")) & y.between(F.col("_t"), F.col("_b"))).withColumns({"_x": x, "_y": y})
+
+    def cells(t: Column) -> Column:
+        across = lambda r: F.transform(_spans(t["columns"], F.col("_x")), lambda c: F.struct(t["table_no"].alias("t"), r.alias("r"), c.alias("c")))
+        return F.flatten(F.transform(_spans(t["rows"], F.col("_y")), across))
+
+    found = each(j, [*runs.columns], F.flatten(F.transform("_tables", cells)), "_c", "_i")
+    return found.select(*runs.columns, F.col("_c.t").alias("table_no"), F.col("_c.r").cast("long").alias("row_no"), F.col("_c.c").cast("long").alias("col_no"))
 
 
 def exclude_table_runs(runs: DataFrame, tables: DataFrame) -> DataFrame:
@@ -111,13 +142,13 @@ def exclude_table_runs(runs: DataFrame, tables: DataFrame) -> DataFrame:
     return runs.join(box, inside, "left_anti")
 
 
-def table_rows(runs: DataFrame, cells: DataFrame) -> DataFrame:
+def table_rows(runs: DataFrame, tables: DataFrame) -> DataFrame:
     """Every cell of the grid with its text in reading order, trimmed; empty when no run is in it."""
-    held = reading_lines(assign_cells(runs, cells).select(*CELL, "run_no", "text", "left", "right", "top", "bottom"), CELL)
+    held = reading_lines(assign_cells(runs, tables).select(*CELL, "run_no", "text", "left", "right", "top", "bottom"), CELL)
     piece = F.struct("column_no", "line_no", F.expr("transform(pieces, x -> x.text)").alias("t"))
     texts = held.groupBy(*CELL).agg(F.sort_array(F.collect_list(piece)).alias("_p"))
     texts = texts.select(*CELL, F.trim(join_pieces("flatten(_p.t)")).alias("text"))
-    return cells.select(*CELL).join(texts, CELL, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return table_cells(tables).select(*CELL).join(texts, CELL, "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def cell_number(text: Column) -> Column:
@@ -185,9 +216,9 @@ def document_blocks(lines: DataFrame, tables: DataFrame, images: DataFrame | Non
     return e.select(*PAGE, F.col("block_no").cast("long").alias("block_no"), *[F.col(f"x.b.{c}").alias(c) for c in ("no", "kind", "heading", "runs", "text")])
 
 
-def cell_paragraphs(runs: DataFrame, cells: DataFrame) -> DataFrame:
+def cell_paragraphs(runs: DataFrame, tables: DataFrame) -> DataFrame:
     """Paragraphs inside each cell: no headings, edges trimmed, blanks dropped."""
-    held = assign_cells(runs, cells).select(*CELL, "run_no", "text", "left", "right", "top", "bottom", "size", "bold", "italic")
+    held = assign_cells(runs, tables).select(*CELL, "run_no", "text", "left", "right", "top", "bottom", "size", "bold", "italic")
     lines = reading_lines(held, CELL).withColumn("heading", F.lit(None).cast("long"))
     return paragraphs(paragraph_breaks(lines, CELL), CELL, cells=True)
 

@@ -255,8 +255,7 @@ def detect_tables(v):
 
 @query("assign_cells", "J3", "SELECT doc_id, page_no, row_no, col_no, run_no FROM in_cells", "in_cells")
 def assign_cells(v):
-    cells = T.table_cells(T.detect_tables(T.usable_rules(v.rules())))
-    return T.assign_cells(v.runs(), cells).select("doc_id", "page_no", "row_no", "col_no", "run_no")
+    return T.assign_cells(v.runs(), T.detect_tables(T.usable_rules(v.rules()))).select("doc_id", "page_no", "row_no", "col_no", "run_no")
 
 
 @query("outside_tables", "J4", "SELECT doc_id, page_no, count(*) AS runs, CAST(sum(run_no) AS BIGINT) AS ids FROM outside GROUP BY ALL", "outside")
@@ -266,8 +265,7 @@ def outside_tables(v):
 
 
 def _cells(v):
-    cells = T.table_cells(T.detect_tables(T.usable_rules(v.rules())))
-    return T.table_rows(v.runs(), cells)
+    return T.table_rows(v.runs(), T.detect_tables(T.usable_rules(v.rules())))
 
 
 @query("table_rows", "T9", "SELECT doc_id, page_no, row_no, col_no, text FROM cell_text", "cell_text")
@@ -359,9 +357,8 @@ SQL_VIEWS.update({
 
 
 def _tables_html(v):
-    runs = plain_runs(v)
-    cells = T.table_cells(T.detect_tables(T.usable_rules(v.rules())))
-    return T.table_html(cells, T.cell_paragraphs(runs, cells))
+    tabs = T.detect_tables(T.usable_rules(v.rules()))
+    return T.table_html(T.table_cells(tabs), T.cell_paragraphs(plain_runs(v), tabs))
 
 
 @query("blocks_html", "K3", """

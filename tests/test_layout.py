@@ -135,7 +135,7 @@ def test_two_grids_on_a_page_and_too_few_rules(spark):
 
 
 def test_a_centre_on_a_shared_edge_is_in_both_cells(spark):
-    cells = T.table_cells(T.detect_tables(grid(spark)))
+    cells = T.detect_tables(grid(spark))
     df = runs(spark, [(0, "12.5", 210, 230, 160, 170), (0, "x", 80, 100, 181, 191), (0, "y", 102, 110, 181, 191)])
     got = {(r.row_no, r.col_no): r.text for r in T.table_rows(df, cells).collect() if r.text}
     assert got == {(0, 0): "12.5", (0, 1): "12.5", (1, 0): "x y"}
@@ -144,7 +144,7 @@ def test_a_centre_on_a_shared_edge_is_in_both_cells(spark):
 
 def test_cluster_keeps_the_first(spark):
     df = spark.createDataFrame([([5.0, 1.0, 2.5, 3.5, 6.0],)], "p array<double>")
-    assert df.select(T.cluster_positions("p").alias("c")).first()["c"] == [1.0, 3.5, 6.0]
+    assert df.select(T.cluster_positions(F.col("p")).alias("c")).first()["c"] == [1.0, 3.5, 6.0]
 
 
 def test_numbers_in_cells(spark):
@@ -167,7 +167,7 @@ def test_blocks_and_html(spark):
     assert tuple(T.block_counts(b).first()) == (1, 2, 2, 0, 2, 1)
     cells = T.table_cells(tabs)
     sizes = images.withColumns({"width_points": F.lit(72.0), "height_points": F.lit(0.1)})
-    html = T.blocks_to_html(b, T.table_html(cells, T.cell_paragraphs(df, cells)), "my files", sizes).orderBy("page_no").collect()
+    html = T.blocks_to_html(b, T.table_html(cells, T.cell_paragraphs(df, tabs)), "my files", sizes).orderBy("page_no").collect()
     assert html[0].html.startswith("<p>above</p>\n<table><tbody><tr><td><p>&lt;in&gt;</p></td><td></td>")
     assert html[0].html.endswith('<p>below</p>\n<p><img src="my%20files/image-001.png" width="96" height="1" alt=""></p>')
     assert html[1].html == '<p><img src="my%20files/image-002.png" width="96" height="1" alt=""></p>'
@@ -189,3 +189,32 @@ def test_page_windows_share_one_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_bisect_counts_entries_below(spark):
+    from quireflow.functions.folds import bisect
+
+    rng = random.Random(3)
+    rows = [(sorted({float(rng.randrange(30)) for _ in range(n)}), float(rng.randrange(-2, 32))) for n in [*range(12)] * 6]
+    df = spark.createDataFrame(rows, "a array<double>, x double").select("a", "x", bisect(F.col("a"), F.col("x")), bisect(F.col("a"), F.col("x"), right=True))
+    assert all((lo, hi) == (sum(v < x for v in a), sum(v <= x for v in a)) for a, x, lo, hi in df.collect())
+
+
+def test_runs_find_their_cells_in_several_tables(spark):
+    rng = random.Random(8)
+    tabs = [(d, 0, t, sorted(float(v) for v in rng.sample(range(0, 400, 20), 6)), sorted(float(v) + 300 * t for v in rng.sample(range(0, 280, 20), 5))) for d in range(3) for t in range(3)]
+    places = [(d, 0, i, float(rng.randrange(0, 420, 10)), float(rng.randrange(0, 900, 10))) for d in range(3) for i in range(400)]
+    df = spark.createDataFrame([(d, p, i, x - 5, x + 5, y - 2, y + 2) for d, p, i, x, y in places], "doc_id long, page_no long, run_no long, left double, right double, top double, bottom double")
+    got = T.assign_cells(df, spark.createDataFrame(tabs, "doc_id long, page_no long, table_no long, columns array<double>, rows array<double>"))
+    want = {
+        (d, i, t, r, c)
+        for d, _, i, x, y in places
+        for e, _, t, columns, rows in tabs
+        if d == e
+        for r in range(len(rows) - 1)
+        if rows[r] <= y <= rows[r + 1]
+        for c in range(len(columns) - 1)
+        if columns[c] <= x <= columns[c + 1]
+    }
+    rows = got.select("doc_id", "run_no", "table_no", "row_no", "col_no").collect()
+    assert want and len(rows) == len(want) and {tuple(r) for r in rows} == want

@@ -48,3 +48,9 @@ def test_every_inventory_entry_has_a_query():
     wanted = re.findall(r"^\| ([A-Z]\d+) \|", survey.read_text(), re.M)
     have = {h for v in plans.handles().values() for h in v.split()}
     assert len(wanted) > 100 and not [w for w in wanted if w not in have]
+
+
+@pytest.mark.parametrize("name,scans,exchanges", [("detect_tables", 1, 1), ("assign_cells", 2, 2), ("table_rows", 3, 3), ("document_blocks", 5, 9)])
+def test_pages_are_derived_few_times(spark, name, scans, exchanges):
+    plan = plan_of(spark, name).split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= exchanges
