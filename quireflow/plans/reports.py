@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from ..functions.spans import spans
 from ..operators import redaction as D
 from ..operators import reports as R
 from ..operators import retrieval as K
+from ..operators import usage as U
+from ..session import checkpoint_dir
 from .registry import query
 from .views import SQL_VIEWS
 
@@ -74,9 +77,86 @@ def distinct_words(v):
     return R.distinct_values(v.runs(), "doc_id", "text")
 
 
-@query("distinct_words_approx", "A18")
+@query("distinct_words_approx", "A18", "SELECT doc_id, count(DISTINCT text) AS distinct_values, true AS within_tolerance FROM runs GROUP BY doc_id", "runs")
 def distinct_words_approx(v):
-    return R.distinct_values(v.runs(), "doc_id", "text", approximate=True)
+    # The estimate is held against the exact count: its standard error is 2 %, five of which no group should pass.
+    near = R.distinct_values(v.runs(), "doc_id", "text", approximate=True).withColumnRenamed("distinct_values", "_near")
+    return _tolerable(R.distinct_values(v.runs(), "doc_id", "text").join(near, "doc_id"), F.col("_near"), 0.1).drop("_near")
+
+
+def _tolerable(df, estimate, share):
+    return df.withColumn("within_tolerance", F.abs(estimate - F.col("distinct_values")) <= F.greatest(F.col("distinct_values") * share, F.lit(1.0)))
+
+
+@query("distinct_word_sketches", "A18", """
+    WITH w AS (SELECT lang, source, unnest(string_split(text, ' ')) AS word FROM documents)
+    SELECT 'lang' AS level, lang AS name, count(DISTINCT word) AS distinct_values, true AS within_tolerance FROM w GROUP BY lang
+    UNION ALL SELECT 'source', source, count(DISTINCT word), true FROM w GROUP BY source""")
+def distinct_word_sketches(v):
+    docs = v.table("documents", "doc_id", "lang", "source", "text")
+    words = each(docs, ["doc_id", "lang", "source"], F.split("text", " ", -1), "word")
+    path = f"{checkpoint_dir(v.spark)}/sketches_{uuid.uuid4().hex}"
+    U.value_sketches(words, ["doc_id", "lang", "source"], F.col("word")).write.parquet(path)
+    stored = v.spark.read.parquet(path)  # both levels come from the stored sketches of single documents
+
+    def level(name):
+        exact = words.groupBy(F.col(name).alias("name")).agg(F.count_distinct("word").alias("distinct_values"))
+        near = U.merged_estimates(stored, [name]).withColumnRenamed(name, "name")
+        return _tolerable(exact.join(near, "name"), F.col("estimate"), 0.08).select(F.lit(name).alias("level"), "name", "distinct_values", "within_tolerance")
+
+    return level("lang").unionByName(level("source"))
+
+
+@query("shared_glyphs", "A12", """
+    WITH u AS (SELECT doc_id, font_name || '#' || (doc_id % 20) AS file_id, text, NOT (doc_id % 20 = 7 AND doc_id % 3 = 0) AS readable FROM runs),
+    g AS (SELECT file_id, count(DISTINCT c) AS n FROM (SELECT file_id, unnest(string_split(text, '')) AS c FROM u WHERE readable) WHERE c <> '' GROUP BY file_id)
+    SELECT file_id, count(DISTINCT doc_id) AS documents, NOT bool_and(readable) AS kept_whole, CASE WHEN bool_and(readable) THEN any_value(coalesce(n, 0)) END AS glyphs
+    FROM u LEFT JOIN g USING (file_id) GROUP BY file_id""", "runs")
+def shared_glyphs(v):
+    file_id = F.concat("font_name", F.lit("#"), (F.col("doc_id") % 20).cast("string"))
+    readable = ~((F.col("doc_id") % 20 == 7) & (F.col("doc_id") % 3 == 0))
+    uses = v.runs().select("doc_id", file_id.alias("file_id"), "text", readable.alias("readable"))
+    return U.shared_glyphs(uses, U.glyph_bitmaps(uses))
+
+
+_SUBTYPES = [*U.MARKUP_SUBTYPES, "Link", "Widget", U.ATTACHMENT]
+SQL_VIEWS["removable"] = (("fields", "outline", "runs"), f"""
+    SELECT conv_id AS doc_id, CASE WHEN k < 18 THEN 'comments' WHEN k = 20 THEN 'attachments' END AS cat FROM (SELECT conv_id, (conv_id + turn * 3) % {len(_SUBTYPES)} AS k FROM conversations)
+    UNION ALL SELECT doc_id, 'form_fields' FROM fields WHERE len(value) > 0 OR (name = 'sign' AND doc_id % 2 = 0)
+    UNION ALL SELECT doc_id, 'bookmarks' FROM outline UNION ALL SELECT doc_id, 'hidden_text_runs' FROM runs WHERE render_mode IN (3, 7)
+    UNION ALL SELECT doc_id, 'info_keys' FROM documents, range(0, 3) t(i) WHERE i < doc_id % 4
+    UNION ALL SELECT doc_id, 'xmp_packets' FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, 'embedded_files' FROM documents WHERE doc_id % 5 = 0""")
+
+
+def _clean_sql(asked):
+    counts = ", ".join((f"count_if(cat = '{c}')::BIGINT" if c in asked else "0::BIGINT") + f" AS {c}" for c in U.CLEAN_COUNTS)
+    wanted = ", ".join(f"'{c}'" for c in asked)
+    rows = "documents d LEFT JOIN removable r USING (doc_id)"
+    return f"SELECT doc_id, {counts}, count_if(cat IN ({wanted})) = 0 AS is_empty FROM {rows} GROUP BY doc_id UNION ALL SELECT NULL, {counts}, count_if(cat IN ({wanted})) = 0 FROM {rows}"
+
+
+def _clean(v, options):
+    docs = v.table("documents", "doc_id", "n_chars")
+    subtype = F.element_at(F.array(*[F.lit(x) for x in _SUBTYPES]), ((F.col("conv_id") + F.col("turn") * 3) % len(_SUBTYPES) + 1).cast("int"))
+    value = F.when(F.size("value") > 0, F.array_join("value", ";"))
+    default = F.when((F.col("name") == "sign") & (F.col("doc_id") % 2 == 0), "Off")
+    tables = {
+        "annotations": v.table("conversations", "conv_id", "turn").select(F.col("conv_id").alias("doc_id"), subtype.alias("subtype")),
+        "fields": v.fields().select("doc_id", value.alias("value"), default.alias("default_value")), "outline": v.outline(), "runs": v.runs(),
+        "info": docs.filter("doc_id % 4 > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 4)).alias("key")),
+        "xmp": docs.filter("doc_id % 4 = 1"), "embedded_files": docs.filter("doc_id % 5 = 0"),
+    }
+    return U.clean_documents(docs, tables, options)
+
+
+@query("clean_documents", "A10", _clean_sql(U.CLEAN_COUNTS), "removable")
+def clean_documents(v):
+    return _clean(v, U.CleanOptions(*[True] * 7))
+
+
+@query("clean_some", "A10", _clean_sql(["info_keys", "xmp_packets", "embedded_files"]), "removable")
+def clean_some(v):
+    return _clean(v, U.CleanOptions(metadata=True, embedded_files=True))
 
 
 SQL_VIEWS["reasons"] = (("images",), """

@@ -14,9 +14,12 @@ from .registry import query
 from .views import SQL_VIEWS
 
 
-@query("scan_corpus", "S1")
+@query("scan_corpus", "S1", "SELECT doc_id || '.txt' AS label, strlen(text)::BIGINT AS length, sha256(text) AS digest FROM documents")
 def scan_corpus(v):
-    return files.scan_corpus(v.spark, v.folder, "*.parquet").select("label", (F.col("length") > 0).alias("has_bytes"))
+    # Every document as a file of its own, found and read again.
+    path = f"{checkpoint_dir(v.spark)}/corpus_{uuid.uuid4().hex}"
+    sinks.write_text(v.table("documents", "doc_id", "text"), path)
+    return files.scan_corpus(v.spark, f"{path}/part-*", "*.txt").select("label", "length", F.sha2("content", 256).alias("digest"))
 
 
 @query("read_events", "S4", "SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
