@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from .folds import let
 
 # Style words peeled off the end of a font name, tried in this order.
-STYLE_SUFFIXES = (
-    "psmt mt ps bolditalic boldoblique bold italic oblique regular semibold demibold medium light black heavy thin condensed narrow"
-).split()
+STYLE_SUFFIXES = [
+    "psmt", "mt", "ps", "bolditalic", "boldoblique", "bold", "italic", "oblique", "regular", "semibold", "demibold",
+    "medium", "light", "black", "heavy", "thin", "condensed", "narrow",
+]
 # Keys of the fonts every viewer has.
-STANDARD_KEYS = "helvetica arial times timesroman timesnewroman courier couriernew symbol zapfdingbats".split()
+STANDARD_KEYS = [
+    "helvetica", "arial", "times", "timesroman", "timesnewroman", "courier", "couriernew", "symbol", "zapfdingbats",
+]
 # Words that tell a font's class.
-MONO_HINTS, SERIF_HINTS = "courier mono consol menlo code".split(), "times georgia garamond serif roman minion book century".split()
+MONO_HINTS = ["courier", "mono", "consol", "menlo", "code"]
+SERIF_HINTS = ["times", "georgia", "garamond", "serif", "roman", "minion", "book", "century"]
 CLASS_MONO = ["mono", "courier", "consolas", "menlo", "monaco", "lucida console", "code", "typewriter", "fixed"]
 CLASS_SERIF = [
     "times", "georgia", "cambria", "garamond", "palatino", "book antiqua", "baskerville", "constantia", "serif", "minion",

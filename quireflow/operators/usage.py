@@ -57,9 +57,10 @@ def shared_glyphs(uses: DataFrame, bitmaps: DataFrame) -> DataFrame:
 # -- cleaning ---------------------------------------------------------------------------------
 
 # The annotation subtypes that count as comments.
-MARKUP_SUBTYPES = (
-    "Text FreeText Line Square Circle Polygon PolyLine Highlight Underline Squiggly StrikeOut Stamp Caret Ink Popup Sound Movie Redact"
-).split()
+MARKUP_SUBTYPES = [
+    "Text", "FreeText", "Line", "Square", "Circle", "Polygon", "PolyLine", "Highlight", "Underline", "Squiggly",
+    "StrikeOut", "Stamp", "Caret", "Ink", "Popup", "Sound", "Movie", "Redact",
+]
 ATTACHMENT = "FileAttachment"
 CLEAN_COUNTS = ["info_keys", "xmp_packets", "hidden_text_runs", "comments", "attachments", "bookmarks", "form_fields", "embedded_files"]
 

@@ -21,8 +21,11 @@ def autosave_ticks(events: DataFrame, history: DataFrame, every: int = 30) -> Da
     a tick at the very time of an event still belongs to the state before it.
     """
     seen = events.select("doc_id", "event_id", "ts").join(history.select("doc_id", "event_id", "dirty"), ["doc_id", "event_id"])
-    following = F.lead("ts").over(Window.partitionBy("doc_id").orderBy("ts", "event_id"))
-    spans = seen.withColumn("_next", F.coalesce(following, events.agg(F.max("ts")).scalar())).filter("dirty")
+    # The following event's time is the last one seen when the scan runs backwards, in blocks of an hour.
+    backwards = [-F.unix_micros("ts"), -F.col("event_id")]
+    block = F.floor(backwards[0] / F.lit(3_600_000_000))
+    seen = running(seen, ["doc_id"], block, backwards, {"_next": ("last", F.col("ts"))}, inclusive=False)
+    spans = seen.withColumn("_next", F.coalesce("_next", events.agg(F.max("ts")).scalar())).filter("dirty")
     tick = lambda c: F.floor(F.unix_micros(c) / F.lit(every * 1_000_000)).cast("long")
     # A tick is due after the event's time, at or before the next one's.
     first, final = tick("ts") + 1, tick("_next")

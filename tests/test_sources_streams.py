@@ -264,3 +264,13 @@ def test_no_query_pulls_tables_to_the_driver():
         body = path.read_text()
         assert ".collect()" not in body and "toPandas" not in body and "localCheckpoint" not in body and "crossJoin" not in body, path
     assert json.dumps({}) == "{}"
+
+
+def test_undisplayed_elements_leave_nothing(spark):
+    doc = (
+        '<p>a<span style="color:red; DISPLAY : none">b<b>c</b>d</span>e</p><div style="display:none"><p>x</p><div>y</div></div>'
+        '<ol><li>one</li><li style="display:none">gone</li><li>two</li></ol><p>f<img style="display:none" alt="z">g</p>'
+        '<div style="display:none"><i style="display:none">h</i>i</div><p style="display:nonesuch">j</p><p>k<section style="display:none">open'
+    )
+    got = html.html_paragraphs(page(spark, doc)).orderBy("par_no").collect()
+    assert [(r.text, r.marker) for r in got] == [("ae", None), ("one", "1."), ("two", "2."), ("fg", None), ("j", None), ("k", None)]
