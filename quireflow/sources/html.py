@@ -183,10 +183,11 @@ def displayed(live: DataFrame, key: str) -> DataFrame:
     nests = ~tag.isin(*VOID) & (F.right("raw", F.lit(2)) != "/>")
     opens, closes = nests & (kind == "start"), nests & (kind == "end")
     style = F.lower(F.coalesce(attr(F.col("raw"), "style"), F.lit("")))
-    none = (kind == "start") & style.rlike(r"(^|;)\s*display\s*:\s*none\b")
+    # The attribute is only read where the words occur at all.
+    none = (kind == "start") & F.col("raw").rlike(r"(?i)display\s*:\s*none") & style.rlike(r"(^|;)\s*display\s*:\s*none\b")
     depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(_so_far(w))
     t = live.withColumn("_outer", depth - F.when(opens, 1).otherwise(0))
-    later = Window.partitionBy(key, "_outer").orderBy("tok_no").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(key, "_outer").orderBy(F.desc("tok_no")).rowsBetween(Window.unboundedPreceding, -1)
     end = F.coalesce(F.min(F.when(closes, F.col("tok_no"))).over(later), F.lit(1 << 60))
     t = t.withColumn("_until", F.when(none, F.when(nests, end).otherwise(F.col("tok_no"))))
     hidden = F.col("tok_no") <= F.coalesce(F.max("_until").over(_so_far(w)), F.lit(-1))
