@@ -286,11 +286,16 @@ class Holdings:
         self.sieve = np.zeros(SIEVE, bool)
         self.sieve[(self.words & np.uint64(SIEVE - 1)).astype(np.int64)] = True
 
-    def held(self, here: np.ndarray) -> np.ndarray:
-        """How many of each item's words are among ``here``."""
-        here = here[self.sieve[(here & np.uint64(SIEVE - 1)).astype(np.int64)]]
-        at = np.minimum(np.searchsorted(self.words, here), len(self.words) - 1)
-        at = np.unique(at[self.words[at] == here])
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``words`` any item holds, and their places in ``self.words``."""
+        maybe = np.flatnonzero(self.sieve[(words & np.uint64(SIEVE - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.words, words[maybe]), len(self.words) - 1)
+        real = self.words[at] == words[maybe]
+        return maybe[real], at[real]
+
+    def held(self, at: np.ndarray) -> np.ndarray:
+        """How many of each item's words are among those at ``at``."""
+        at = np.unique(at)
         row = self.row[at]
         out = self.dense[row[row >= 0]].sum(axis=0)
         at = at[row < 0]
@@ -301,6 +306,22 @@ class Holdings:
         return out
 
 
+def _held_in_windows(term: np.ndarray, times: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Per window ``lows[k]:highs[k]`` of ``term`` the sum of ``times`` over its different terms; both borders only rise.
+
+    A repeat counts too much in the windows that hold the term's last place before as well; these are neighbours.
+    """
+    weight = times[term]
+    total = np.r_[0, np.cumsum(weight)]
+    order = np.argsort(term, kind="stable")
+    same = np.flatnonzero(term[order[1:]] == term[order[:-1]])
+    before, repeat = order[same], order[same + 1]
+    first, last = np.searchsorted(highs, repeat, "right"), np.searchsorted(lows, before, "right")
+    real = first < last
+    surplus = np.bincount(first[real], weight[repeat][real], len(lows) + 1) - np.bincount(last[real], weight[repeat][real], len(lows) + 1)
+    return total[highs] - total[lows] - np.cumsum(surplus)[:-1]
+
+
 @dataclass
 class Search:
     items: list[Item]
@@ -311,6 +332,7 @@ class Search:
 
     def __post_init__(self) -> None:
         self.holdings = Holdings(self.items)
+        self.scratch = np.full(len(self.holdings.words), -1, np.int64)  # places in one item's terms, while it is searched
         self.sizes = np.array([len(i.words) for i in self.items])
         self.queries: dict[int, list[tuple[int, int]]] = {}
         for g, group in enumerate(self.groups):
@@ -328,26 +350,27 @@ class Search:
             for doc, (begin, end) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
                 own = words.hash[begin:end]
                 if len(own):
-                    for i in np.flatnonzero(self.holdings.held(own) >= need).tolist():
-                        best = self._search(own, i, float(need[i]))
+                    hit, at = self.holdings.places(own)
+                    for i in np.flatnonzero(self.holdings.held(at) >= need).tolist():
+                        best = self._search(own, hit, at, i, float(need[i]))
                         if best:
                             out[first + doc][i] = best
         return out
 
-    def _search(self, words: np.ndarray, i: int, need: float) -> tuple[float, float, float] | None:
-        """The best passage of a document for item ``i``, by share and then cosine."""
+    def _search(self, words: np.ndarray, hit: np.ndarray, at: np.ndarray, i: int, need: float) -> tuple[float, float, float] | None:
+        """The best passage of a document for item ``i``, by share and then cosine. The words ``hit`` are any item's, at ``at`` in the table of these."""
         known, size, best = self.items[i], len(self.items[i].words), None
         terms, times = np.unique(np.array(known.words, np.uint64), return_counts=True)
-        at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
-        hit = np.flatnonzero(terms[at] == words)
-        term = at[hit]
+        own = np.searchsorted(self.holdings.words, terms)
+        self.scratch[own] = np.arange(len(terms))
+        term = self.scratch[at]
+        self.scratch[own] = -1
+        hit, term = hit[term >= 0], term[term >= 0]
         starts = np.arange(0, len(words), STRIDE)
         begins, ends = np.maximum(starts - size, 0), np.minimum(starts + 2 * STRIDE + size, len(words))
         lows, highs = np.searchsorted(hit, begins), np.searchsorted(hit, ends)
-        for k in np.flatnonzero((highs - lows) * times.max() >= need).tolist():
+        for k in np.flatnonzero(_held_in_windows(term, times, lows, highs) >= need).tolist():
             here = np.unique(term[lows[k] : highs[k]])
-            if times[here].sum() < need:
-                continue
             share = common_subsequence(known.words, terms[term[lows[k] : highs[k]]].tolist()) / size
             held = set(terms[here].tolist())
             answer = len(known.answer & held) / len(known.answer)

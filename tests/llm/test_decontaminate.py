@@ -110,6 +110,17 @@ def test_latent_recall_against_all_cosines(docs):
         assert (near >= 0.5).mean() >= 0.9 and np.linalg.norm(full @ g.space, axis=1).min() > 0.9
 
 
+def test_words_held_in_windows_match_sets():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 7, 200):
+        for kinds in (1, 5, 60):
+            term, times = r.integers(0, kinds, n), r.integers(1, 4, kinds)
+            lows, highs = np.sort(r.integers(0, n + 1, 30)), np.sort(r.integers(0, n + 1, 30))
+            lows = np.minimum(lows, highs)
+            want = [sum(times[t] for t in set(term[a:b].tolist())) for a, b in zip(lows, highs, strict=True)]
+            assert D._held_in_windows(term, times, lows, highs).tolist() == want
+
+
 def test_empty_tables(docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     bench = spark.createDataFrame(ITEMS[:3], "item_id long, text string")
