@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import keyed_state
 from .windows import LATE
 
 MAX_DEPTH = 100
@@ -103,13 +104,10 @@ class HistoryProcessor(StatefulProcessor):
 
 
 def edit_history_stream(events: DataFrame) -> DataFrame:
-    """Keyed streaming state; needs the RocksDB state store. Bound a trigger with the source's
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``: its events of one document are sorted together.
+    """Keyed streaming state. Bound a trigger with the source's ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger``: its events of one document are sorted together.
     """
-    spark = events.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    )
+    keyed_state(events.sparkSession)
     cols = events.select("doc_id", "event_id", "ts", "op", "heap_bytes")
     return cols.groupBy("doc_id").transformWithStateInPandas(
         statefulProcessor=HistoryProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
@@ -174,9 +172,9 @@ class OrderedHistoryProcessor(StatefulProcessor):
 def edit_history_event_time(events: DataFrame, late: str = LATE) -> DataFrame:
     """The history after each event, in event time: the same rows in any order over any number of triggers give what :func:`edit_history` gives.
 
-    A minute's events come out once the watermark, ``late`` behind the latest event, has passed that minute; what arrives for it later is dropped. Needs the
-    RocksDB state store (``session.configure``).
+    A minute's events come out once the watermark, ``late`` behind the latest event, has passed that minute; what arrives for it later is dropped.
     """
+    keyed_state(events.sparkSession)
     cols = events.select("doc_id", "event_id", "ts", "op", "heap_bytes").withWatermark("ts", late)
     return cols.groupBy("doc_id").transformWithStateInPandas(
         statefulProcessor=OrderedHistoryProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"

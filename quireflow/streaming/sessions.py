@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, keyed_state
 from .windows import LATE
 
 CHANGES = "doc_id long, since_us long, deleted boolean"
@@ -54,6 +54,7 @@ def open_document_changes(doc_events: DataFrame, late: str = LATE) -> DataFrame:
 
     Events may come in any order within ``late``. State holds the open documents and those closed within ``late``.
     """
+    keyed_state(doc_events.sparkSession)
     cols = doc_events.select("doc_id", "ts", "event_id", "kind").withWatermark("ts", late)
     changes = cols.groupBy("doc_id").transformWithStateInPandas(
         statefulProcessor=OpenProcessor(), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime"
