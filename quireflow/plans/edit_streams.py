@@ -117,7 +117,7 @@ def watch_folder(v):
     out = f"{checkpoint_dir(v.spark)}/watch_{uuid.uuid4().hex}"
     schema = v.table("documents").schema
     find = lambda df: S.explode_hits(S.find_patterns(df, ALL), ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    J.watch_folder(v.spark, v.folder, out, schema, find, glob="documents.parquet", once=True).awaitTermination()
+    J.watch_folder(v.spark, v.files_of("documents"), out, schema, find, once=True).awaitTermination()
     return v.spark.read.parquet(out).select("doc_id", "hits")
 
 

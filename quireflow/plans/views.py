@@ -32,8 +32,11 @@ class Views:
 
     def stream(self, name: str) -> DataFrame:
         """The same table as a file stream: every file is read once, in order of arrival."""
-        schema = self.table(name).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return self.spark.readStream.schema(self.table(name).schema).parquet(self.files_of(name))
+
+    def files_of(self, name: str) -> str:
+        """A pattern that a stream can watch, whether the table is one file or a folder of files."""
+        return f"{self.folder.rstrip('/')}/{name}.parque[t]"
 
     # pages and layout ------------------------------------------------------------
     def sheets(self) -> DataFrame:

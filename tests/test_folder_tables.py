@@ -1,7 +1,6 @@
 """Streams where a table is a folder of files, and in sessions without settings of their own."""
 
 import os
-import shutil
 
 import pytest
 
@@ -20,3 +19,14 @@ def test_keyed_state_brings_its_store(spark, name):
     every = {tuple(r) for r in plans.queries()[want](spark, FOLDER).select(*got.columns).collect()}
     rows = {tuple(r) for r in got.collect()}
     assert rows and rows <= every
+
+
+@pytest.mark.parametrize("name", ["pattern_windows_stream", "watch_folder", "edit_history_stream", "debounce_stream"])
+def test_a_folder_of_files_is_one_table(spark, tmp_path, name):
+    for t in ("documents", "events"):
+        os.makedirs(f"{tmp_path}/{t}.parquet")
+        rows = spark.read.parquet(f"{FOLDER}/{t}.parquet")
+        rows.repartition(3).write.mode("append").parquet(f"{tmp_path}/{t}.parquet")
+    got = plans.queries()[name](spark, str(tmp_path)).collect()
+    want = plans.queries()[name](spark, FOLDER).collect()
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, want))
