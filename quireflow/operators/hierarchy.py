@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .scan import dense_index
+from .scan import apart, dense_index
 
 
 # Fixed value: levels of a qualified field name.
@@ -23,7 +23,7 @@ def _jump(nodes: DataFrame) -> DataFrame:
     """One doubling round over ``(k, id, ptr, done)``; only open nodes are joined."""
     open_ = nodes.filter("NOT done")
     to = nodes.select("k", F.col("id").alias("ptr"), F.col("ptr").alias("_next"), F.col("done").alias("_done"))
-    moved = open_.join(to, ["k", "ptr"]).select("k", "id", F.col("_next").alias("ptr"), F.col("_done").alias("done"))
+    moved = open_.join(apart(to), ["k", "ptr"]).select("k", "id", F.col("_next").alias("ptr"), F.col("_done").alias("done"))
     return checkpointed(nodes.filter("done").unionByName(moved))
 
 
@@ -43,7 +43,7 @@ def pointer_roots(df: DataFrame, key: str, node: str, parent: str) -> DataFrame:
     """
     n = df.select(F.col(key).alias("k"), F.col(node).alias("id"), F.col(parent).alias("up"))
     ids = n.select("k", F.col("id").alias("up"), F.lit(True).alias("_there"))
-    linked = n.join(ids, ["k", "up"], "left")
+    linked = n.join(apart(ids), ["k", "up"], "left")
     root = F.col("_there").isNull()
     start = checkpointed(linked.select("k", "id", F.when(root, F.col("id")).otherwise(F.col("up")).alias("ptr"), root.alias("done")))
     # A node pointing at a root is finished once its pointer is known to be one.
@@ -70,7 +70,7 @@ def node_paths(df: DataFrame, key: str, node: str, parent: str, label: Column, l
     covered = 1
     while (levels is None or covered < levels) and not cur.filter("up IS NOT NULL").isEmpty():
         above = cur.select("k", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        j = cur.join(above, ["k", "up"], "left")
+        j = cur.join(apart(above), ["k", "up"], "left")
         cur = checkpointed(j.select("k", "id", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.expr("filter(path, x -> false)")), "path").alias("path")))
         covered *= 2
     path = F.col("path") if levels is None else F.slice("path", F.greatest(F.size("path") - levels, F.lit(0)) + 1, levels)
@@ -89,9 +89,9 @@ def outline_flatten(outline: DataFrame) -> DataFrame:
     A node whose parent is missing is a root, and so is each node on a cycle: the link to its parent is cut.
     """
     ends = pointer_roots(outline, "doc_id", "node_id", "parent_id").where("root = node_id").select("doc_id", "node_id", F.lit(True).alias("_root"))
-    cut = outline.join(ends, ["doc_id", "node_id"], "left").withColumn("_up", F.when(F.col("_root").isNull(), F.col("parent_id")))
+    cut = outline.join(apart(ends), ["doc_id", "node_id"], "left").withColumn("_up", F.when(F.col("_root").isNull(), F.col("parent_id")))
     paths = node_paths(cut, "doc_id", "node_id", "_up", F.struct("seq", "node_id"))
-    j = outline.join(paths, ["doc_id", "node_id"]).withColumn("depth", (F.size("path") - 1).cast("long"))
+    j = outline.join(apart(paths), ["doc_id", "node_id"]).withColumn("depth", (F.size("path") - 1).cast("long"))
     # Blocks are subtrees three levels down, so that one root with everything below it is still split.
     flat = dense_index(j, ["doc_id"], F.slice("path", 1, 3), [F.col("path")], "position")
     return flat.drop("path")

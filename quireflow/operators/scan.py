@@ -62,7 +62,7 @@ def running(
 
     end = Window.currentRow if inclusive else -1
     within = Window.partitionBy(*bkeys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    out = tagged.join(totals, bkeys, "left")
+    out = tagged.join(apart(totals), bkeys, "left")
     for i, (name, (kind, _)) in enumerate(aggs.items()):
         p, v = F.col(f"_p{i}"), F.col(f"_v{i}")
         if kind == "sum":
@@ -89,6 +89,14 @@ def with_group_total(df: DataFrame, keys: list[str], total: Column, out: str) ->
     return df.join(df.groupBy(*keys).agg(total.alias(out)), keys, "left")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: sorted and merged in tasks, never sent whole to the driver and to every executor.
+
+    Spark guesses a table's size from its compressed file, so what a query makes of it may look small enough to broadcast.
+    """
+    return df.hint("merge")
+
+
 def global_offsets(groups: DataFrame, order: list[str], size: str, out: str) -> DataFrame:
     """Exclusive prefix sum of ``size`` over all rows in ``order`` without a one-task sort.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import assembly as Y
 from ..operators.hierarchy import qualified_names
 from ..operators.page_ranges import parse_pages
+from ..operators.scan import apart
 from .registry import query
 from .views import SQL_VIEWS
 
@@ -90,7 +91,7 @@ def merge_fields(v):
     _, sources, pages, fields = _forms(v)
     merged = Y.merged_fields(Y.merge_plan(sources, pages, fields=fields)[0], fields)
     names = qualified_names(merged, "merge_id")
-    return merged.join(names, ["merge_id", "field_id"]).select("merge_id", "source_ord", "field_id", "parent_id", "t", "qualified")
+    return merged.join(apart(names), ["merge_id", "field_id"]).select("merge_id", "source_ord", "field_id", "parent_id", "t", "qualified")
 
 
 @query("merge_defaults", "G1", """
