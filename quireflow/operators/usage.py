@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import each
 from .reports import INVISIBLE
 from .scan import union_all
 
@@ -27,19 +26,16 @@ def merged_estimates(sketches: DataFrame, keys: list[str]) -> DataFrame:
 # -- glyphs of shared font files -----------------------------------------------------------------
 
 
-def code_points(text: Column) -> Column:
-    """The distinct code points of a text."""
-    return F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
-
-
 def glyph_bitmaps(uses: DataFrame) -> DataFrame:
     """``(doc_id, file_id, bucket, bitmap)`` of the code points that each document draws with each font file; texts leave their rows as bits.
 
-    ``uses`` is ``(doc_id, file_id, text, readable)``. A use whose text cannot be read gives no bits here.
+    ``uses`` is ``(doc_id, file_id, text, readable)``. A use whose text cannot be read gives no bits here. Each character of a document counts
+    once before bits are set: bitmaps are built from sorted rows, and those would be all characters of all texts.
     """
-    drawn = each(uses.filter("readable"), ["doc_id", "file_id"], code_points(F.col("text")), "cp")
+    drawn = uses.filter("readable").select("doc_id", "file_id", F.explode_outer(F.split("text", "")).alias("c")).filter("c <> ''")
+    once = drawn.distinct().select("doc_id", "file_id", F.ascii("c").cast("long").alias("cp"))  # of any character, not only ASCII ones
     bucket = F.bitmap_bucket_number("cp").alias("bucket")
-    return drawn.groupBy("doc_id", "file_id", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cp")).alias("bitmap"))
+    return once.groupBy("doc_id", "file_id", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cp")).alias("bitmap"))
 
 
 def shared_glyphs(uses: DataFrame, bitmaps: DataFrame) -> DataFrame:

@@ -60,3 +60,10 @@ def test_small_sets_are_counted_as_they_are(spark):
     assert got == {(19, False), (0, True)}
     old = df.groupBy("k").agg(F.approx_count_distinct("v", 0.02).alias("n")).filter("abs(n - 19) > 1.9 AND k < 5000")
     assert old.count() > 0
+
+
+def test_characters_count_once_per_document_before_bits_are_sorted(spark):
+    uses = spark.createDataFrame([(1, "f", "a", True)], "doc_id long, file_id string, text string, readable boolean")
+    plan = U.glyph_bitmaps(uses)._jdf.queryExecution().sparkPlan().toString()
+    steps = [s for line in plan.splitlines() for s in ("SortAggregate", "HashAggregate", "Generate") if s in line]
+    assert steps[0] == "SortAggregate" and steps.index("HashAggregate") < steps.index("Generate")
