@@ -25,6 +25,8 @@ class Views:
 
     #: Compressed bytes of documents whose words one task lays out; as rows they are some fifty times as many.
     LAID_OUT_AT_ONCE = 1 << 20
+    #: Compressed bytes of short rows, each of which a whole page of markup is made around.
+    TOKENS_AT_ONCE = 1 << 16
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -53,6 +55,11 @@ class Views:
         size = table_bytes(self.spark, self.folder, "documents")
         return df.repartition(max(self.spark.sparkContext.defaultParallelism, -(-size // self.LAID_OUT_AT_ONCE)), "doc_id", "page_no")
 
+    def by_key(self, df: DataFrame, key: str, table: str) -> DataFrame:
+        """Small pages made of a table's rows, placed before their tokens become rows: a task's share does not grow with the table."""
+        size = table_bytes(self.spark, self.folder, table)
+        return df.repartition(max(self.spark.sparkContext.defaultParallelism, -(-size // self.TOKENS_AT_ONCE)), key)
+
     def placed_sheets(self) -> DataFrame:
         """Pages travel as their lines, before words become rows."""
         return self.by_page(self.sheets().select("doc_id", "lang", F.col("page_no").cast("long").alias("page_no"), "lines"))

@@ -63,3 +63,9 @@ def test_blocks_are_counted_without_their_texts(spark, folder):
     names = ["doc_id", "pages", "paragraphs", "headings", "images", "tables"]
     want = T.block_counts(page_layout.blocks(Views(spark, folder)))
     assert sorted(map(tuple, counts.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
+
+
+def test_no_exchange_of_tokens(spark):
+    plan = plans.queries()["html_table_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and not [m for m in moved if "tok_no#" in m or "raw#" in m]
