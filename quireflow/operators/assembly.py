@@ -153,16 +153,14 @@ def inserted_fields(plan: DataFrame, fields: DataFrame, spec: PageSpec, at: int)
     Returns ``(doc_id, from_id, field_id, parent_id, t, page_no)``; ids are those of the document they come from.
     """
     own = fields.join(apart(plan.select("doc_id", "added")), "doc_id").select(
-        "doc_id", F.col("doc_id").alias("from_id"), "field_id", "parent_id", "t", _pushed("page_no", at).alias("page_no"), F.lit(0).alias("_new"), "seq")
+        "doc_id", F.col("doc_id").alias("from_id"), "field_id", "parent_id", "t", _pushed("page_no", at).alias("page_no"))
     widgets = fields.filter(F.col("t").isNotNull() & F.coalesce(spec.contains(F.col("page_no")), F.lit(False))).withColumnRenamed("doc_id", "src_id")
     came = widgets.join(apart(plan.select("doc_id", "src_id")), "src_id").select(
         "doc_id", F.col("src_id").alias("from_id"), "field_id", F.lit(None).cast("long").alias("parent_id"), "t",
-        _landed("page_no", spec, at).alias("page_no"), F.lit(1).alias("_new"), "seq",
+        _landed("page_no", spec, at).alias("page_no"), "seq",
     )
-    every = own.unionByName(came)
-    counted = every.filter("parent_id IS NULL AND t IS NOT NULL")
-    place = F.coalesce(F.when(F.col("_new") == 1, F.col("page_no")), F.lit(0))
-    use = _nth_use(counted, ["doc_id", "t"], F.struct(F.col("_new"), block_of(place), block_of("seq")), [F.col("_new"), place, F.col("seq"), F.col("field_id")])
-    renamed = use.withColumn("t", F.when(F.col("_new") == 1, _suffixed(F.col("_use"))).otherwise(F.col("t"))).drop("_use")
-    rest = every.filter("parent_id IS NOT NULL OR t IS NULL")
-    return renamed.unionByName(rest).drop("_new", "seq")
+    # Own fields keep their names: they are counted, and only those that come are put in order.
+    use = _nth_use(came, ["doc_id", "t"], F.struct(block_of("page_no"), block_of("seq")), [F.col("page_no"), F.col("seq"), F.col("field_id")])
+    had = own.filter("parent_id IS NULL AND t IS NOT NULL").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("_had"))
+    use = use.join(apart(had), ["doc_id", "t"], "left").withColumn("t", _suffixed(F.col("_use") + F.coalesce("_had", F.lit(0))))
+    return own.unionByName(use.select(*own.columns))

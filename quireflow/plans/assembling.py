@@ -8,6 +8,7 @@ from ..operators import assembly as Y
 from ..operators.hierarchy import qualified_names
 from ..operators.page_ranges import parse_pages
 from ..operators.scan import apart
+from ..session import written
 from .registry import query
 from .views import SQL_VIEWS
 
@@ -118,23 +119,28 @@ def merge_refused(v):
 _SPEC, _AT = parse_pages("1-2"), 1
 
 
-def _insertion(v):
+def _insertion(v, pages):
     pairs = v.table("documents", "doc_id").select("doc_id", (F.col("doc_id") + 1).alias("src_id"))
-    return Y.insert_plan(pairs, v.page_keys(), _SPEC, _AT)
+    return Y.insert_plan(pairs, pages, _SPEC, _AT)
+
+
+def _laid_out(v):
+    """The keys of all pages, laid out once for the plan and all that follows it."""
+    return written(v.page_keys().select("doc_id", "page_no"))
 
 
 @query("insert_outline", "G2", """
     SELECT doc_id, node_id, parent_id, seq, title, CASE WHEN page >= 1 THEN page + 2 ELSE page END AS page FROM outline JOIN insert_pairs USING (doc_id)""", "outline insert_pairs")
 def insert_outline(v):
-    return Y.inserted_outline(_insertion(v), v.outline(), _AT)
+    return Y.inserted_outline(_insertion(v, v.page_keys()), v.outline(), _AT)
 
 
 @query("insert_links", "G2", """
     SELECT doc_id, CASE WHEN page_no >= 1 THEN page_no + 2 ELSE page_no END AS page_no, page_no + 3 AS target_page, doc_id AS from_id FROM doc_pages JOIN insert_pairs USING (doc_id)
     UNION ALL SELECT i.doc_id, 1, 2, src_id FROM insert_pairs i JOIN doc_pages p ON p.doc_id = src_id WHERE page_no = 0""", "doc_pages insert_pairs")
 def insert_links(v):
-    links = v.page_keys().select("doc_id", "page_no", (F.col("page_no") + 1).alias("target_page"))
-    return Y.inserted_links(_insertion(v), links, _SPEC, _AT)
+    p = _laid_out(v)
+    return Y.inserted_links(_insertion(v, p), p.withColumn("target_page", F.col("page_no") + 1), _SPEC, _AT)
 
 
 @query("insert_fields", "G2 W5", """
@@ -146,9 +152,9 @@ def insert_links(v):
     SELECT c.doc_id, from_id, field_id, NULL, c.t || CASE WHEN k + coalesce(n, 0) > 1 THEN '_' || (k + coalesce(n, 0)) ELSE '' END, page_no
     FROM came c LEFT JOIN had h ON h.doc_id = c.doc_id AND h.t = c.t""", "page_fields insert_pairs")
 def insert_fields(v):
-    p = v.page_keys().select("doc_id", "page_no")
+    p, page = _laid_out(v), F.col("page_no")
     none = F.lit(None).cast("long")
-    parents = p.select("doc_id", (F.col("page_no") * 2).alias("field_id"), none.alias("parent_id"), F.lit(0).cast("long").alias("seq"),
-                       F.concat(F.lit("p"), (F.col("page_no") % 2).cast("string")).alias("t"), F.when(F.col("page_no") % 3 != 2, F.col("page_no")).alias("page_no"))
-    kids = p.select("doc_id", (F.col("page_no") * 2 + 1).alias("field_id"), (F.col("page_no") * 2).alias("parent_id"), F.lit(1).cast("long").alias("seq"), F.lit("kid").alias("t"), "page_no")
-    return Y.inserted_fields(_insertion(v), parents.unionByName(kids), _SPEC, _AT)
+    field = lambda *xs: F.struct(*[x.alias(n) for x, n in zip(xs, ("field_id", "parent_id", "seq", "t", "page_no"), strict=True)])
+    parent = field(page * 2, none, F.lit(0).cast("long"), F.concat(F.lit("p"), (page % 2).cast("string")), F.when(page % 3 != 2, page))
+    kid = field(page * 2 + 1, page * 2, F.lit(1).cast("long"), F.lit("kid"), page)
+    return Y.inserted_fields(_insertion(v, p), p.select("doc_id", F.inline(F.array(parent, kid))), _SPEC, _AT)

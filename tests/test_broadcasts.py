@@ -20,3 +20,10 @@ def test_paths_do_not_broadcast(spark):
     n = n.withColumn("up", F.when(F.col("n") > 0, F.col("up")))
     got = {r["n"]: len(r["path"]) for r in node_paths(n, "k", "n", "up", F.col("n")).collect()}
     assert got == {i: i + 1 for i in range(200)}
+
+
+@pytest.mark.parametrize("name", ["insert_fields", "insert_links"])
+def test_pages_are_laid_out_once(spark, name):
+    """No branch of the plan reads texts again."""
+    plan = plans.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan and "page_no:bigint" in plan
