@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # A fold appends into a small buffer and moves full buffers aside, so the copying done by
 # each append stays bounded and a long array costs linear, not quadratic, time.
 _BUFFER = 256
+# Up to so many entries counting takes fewer steps of an expression than halving.
+_SHORT = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,7 +64,8 @@ def fold_collect(
 
 
 def bisect(sorted_array: Column, x: Column, right: bool = False) -> Column:
-    """How many entries of a sorted array are below ``x`` (with ``right``, at most ``x``): halved step by step, not scanned."""
+    """How many entries of a sorted array are below ``x`` (with ``right``, at most ``x``): a long array is halved step by step, a short one counted."""
+    few = F.size(F.filter(sorted_array, lambda at: at <= x if right else at < x))
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_array) + 1)).cast("int"))
 
     def halve(acc: Column, _: Column) -> Column:
@@ -75,7 +78,7 @@ def bisect(sorted_array: Column, x: Column, right: bool = False) -> Column:
         return F.struct(lo.alias("lo"), hi.alias("hi"))
 
     start = F.struct(F.lit(0).alias("lo"), F.size(sorted_array).alias("hi"))
-    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
+    return F.when(F.size(sorted_array) <= _SHORT, few).otherwise(F.aggregate(steps, start, halve, lambda acc: acc["lo"]))
 
 
 def each(df: DataFrame, keep: list, array: Column, item: str, pos: str = "_pos") -> DataFrame:

@@ -90,12 +90,11 @@ class Views:
             "doc_id", "lang", F.col("page_no").cast("long").alias("page_no"),
             F.posexplode("lines").alias("line_no", "line"),
         )
-        # Word offsets: a line is short, so the lengths before each word are simply re-added.
-        word = F.expr(
-            "filter(transform(array(split(line, ' ')), p -> transform(p, (x, i) -> "
-            "named_struct('text', x, 'start', i + length(array_join(slice(p, 1, i), '')))))[0], s -> s.text <> '')"
-        )
-        words = each(lines, ["doc_id", "lang", "page_no", "line_no"], word, "s", "w")
+        # Spark's own string functions, no lambda: a word begins after the text before its space. Only where spaces meet are the words before it counted.
+        cut = each(lines.withColumn("parts", F.split("line", " ")), ["doc_id", "lang", "page_no", "line_no", "line"], F.col("parts"), "word", "i").filter("word <> ''")
+        before = F.expr("if(startswith(line, ' ') OR contains(line, '  '), size(array_remove(slice(split(line, ' '), 1, i), '')), i)")
+        start = F.expr("if(i = 0, 0, length(substring_index(line, ' ', i)) + 1)")
+        words = cut.withColumns({"w": before, "s": F.struct(F.col("word").alias("text"), start.alias("start"))})
         two = F.col("doc_id") % 2 == 1
         second = two & (F.col("line_no") >= 50)
         x0 = F.when(second, 354).otherwise(72) + F.when(F.col("line_no") % 10 == 5, 18).otherwise(0)

@@ -200,6 +200,14 @@ def test_bisect_counts_entries_below(spark):
     assert all((lo, hi) == (sum(v < x for v in a), sum(v <= x for v in a)) for a, x, lo, hi in df.collect())
 
 
+def test_bisect_halves_long_arrays(spark):
+    from quireflow.functions.folds import bisect
+
+    rows = [([float(i) for i in range(0, 2 * n, 2)], float(x)) for n in (15, 16, 17, 40) for x in (-1, 0, 7, 30, 31, 78, 90)]
+    df = spark.createDataFrame(rows, "a array<double>, x double").select("a", "x", bisect(F.col("a"), F.col("x")), bisect(F.col("a"), F.col("x"), right=True))
+    assert all((lo, hi) == (sum(v < x for v in a), sum(v <= x for v in a)) for a, x, lo, hi in df.collect())
+
+
 def test_runs_find_their_cells_in_several_tables(spark):
     rng = random.Random(8)
     tabs = [(d, 0, t, sorted(float(v) for v in rng.sample(range(0, 400, 20), 6)), sorted(float(v) + 300 * t for v in rng.sample(range(0, 280, 20), 5))) for d in range(3) for t in range(3)]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quireflow import plans
 from quireflow.operators import layout as L
 from quireflow.operators import tables as T
+from quireflow.plans.views import Views
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +72,32 @@ def test_no_exchange_of_tokens(spark):
     plan = plans.queries()["html_table_cells"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     assert moved and not [m for m in moved if "tok_no#" in m or "raw#" in m]
+
+
+def test_words_begin_where_they_stand(spark):
+    """Leading, doubled and trailing spaces, and characters of two code units; each word's place is counted without a lambda over the line."""
+    lines = ["  two words", "a  b c", "end  ", "\U0001f642 xé \U0001f642y", "one", "", "   ", "a b  c   d e "]
+    v = Views(spark, FOLDER)
+    sheet = spark.createDataFrame([(2, "en", 1, lines)], "doc_id long, lang string, page_no long, lines array<string>")
+    got = [(r["run_no"], r["text"], r["left"]) for r in v.runs(sheet).orderBy("run_no").collect()]
+    want = []
+    for k, line in enumerate(lines):
+        at, w = 0, 0
+        for part in line.split(" "):
+            if part:
+                want.append((k * 1000 + w, part, 72.0 + (18 if k % 10 == 5 else 0) + 6 * at))
+                w += 1
+            at += len(part) + 1
+    assert got == want
+    plan = v.runs(sheet)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_text_lines_move_no_text(spark):
+    plan = plans.queries()["text_lines"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text, text#" not in plan and "array_sort" not in plan
+
+
+def test_runs_are_not_sorted_to_meet_their_tables(spark):
+    plan = plans.queries()["assign_cells"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
