@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import keyed_state
@@ -116,54 +117,58 @@ def edit_history_stream(events: DataFrame) -> DataFrame:
 
 #: Event time that is held back and put in order together.
 SLICE_MS = 60_000
-_EVENT = "array<struct<ts:bigint,event_id:bigint,op:string,bytes:bigint>>"
+#: Waiting events that are one entry of the state.
+EVENTS_AT_ONCE = 4096
+_ROW = Row(*_COLUMNS)
+_WAITING = "ts array<bigint>, event array<bigint>, op array<string>, bytes array<bigint>"
+
+
+def _slice_end(micros: int) -> int:
+    """The end, in milliseconds, of the slice that an event lies in."""
+    return (micros // (SLICE_MS * 1000) + 1) * SLICE_MS
 
 
 class OrderedHistoryProcessor(StatefulProcessor):
-    """History in event time: events wait in slices of a minute until the watermark has passed the slice, and are then walked in order.
+    """History in event time: events wait until the watermark has passed the minute they lie in, and are then walked in order.
 
-    State of a document: its bounded history, the events of slices that are still open, and the list of those slices. An event
-    of a slice that was walked already is late and dropped, in whichever trigger it comes.
+    State of a document: its bounded history and its waiting events, some thousands an entry, with a timer for the first minute among them. What a
+    trigger brings is appended unread, and one timer walks all that is due, so the calls of a document follow the triggers and not its events. An event
+    of a minute that was walked already is late and dropped, in whichever trigger it comes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("history", _STATE)
-        self.slices = handle.getMapState("slices", "slice bigint", f"events {_EVENT}")
-        self.open = handle.getValueState("open", "slices array<bigint>")
+        self.waiting = handle.getListState("waiting", _WAITING)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _entries(self, events: list[tuple]) -> list[tuple]:
+        """Entries of the state, after a timer for the first of their minutes."""
+        self.handle.registerTimer(_slice_end(min(e[0] for e in events)))
+        return [tuple(map(list, zip(*events[at : at + EVENTS_AT_ONCE]))) for at in range(0, len(events), EVENTS_AT_ONCE)]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting: dict[int, list[tuple]] = {}
-        for pdf in rows:
-            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-            for ts, event, op, size in zip(micros, pdf["event_id"], pdf["op"], pdf["heap_bytes"]):
-                k = int(ts) // (SLICE_MS * 1000)
-                if (k + 1) * SLICE_MS > passed:
-                    waiting.setdefault(k, []).append((int(ts), int(event), op, int(size)))
-        known = set(self.open.get()[0]) if self.open.exists() else set()
-        for k, events in waiting.items():
-            held = [tuple(e) for e in self.slices.getValue((k,))[0]] if k in known else []
-            self.slices.updateValue((k,), (held + events,))
-            if k not in known:
-                self.handle.registerTimer((k + 1) * SLICE_MS)
-        if waiting:
-            self.open.update((sorted(known | set(waiting)),))
+        events = [(r.micros, r.event_id, r.op, r.heap_bytes) for r in rows if _slice_end(r.micros) > passed]
+        if events:
+            self.waiting.appendList(self._entries(events))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        known = self.open.get()[0] if self.open.exists() else []
-        due = [k for k in known if (k + 1) * SLICE_MS <= passed]
-        history = History(*self.state.get()) if self.state.exists() else History()
-        for k in due:
-            events = sorted(tuple(e) for e in self.slices.getValue((k,))[0])
-            yield pd.DataFrame([(key[0], event, *history.walked(op, size)) for _, event, op, size in events], columns=_COLUMNS)
-            self.slices.removeKey((k,))
+        due, rest = [], []
+        for entry in self.waiting.get():
+            for event in zip(*entry):
+                (due if _slice_end(event[0]) <= passed else rest).append(event)
         if due:
+            held = self.state.get()
+            history = History(*held) if held is not None else History()
+            for _, event, op, size in sorted(due):
+                yield _ROW(key[0], event, *history.walked(op, size))
             self.state.update((history.current, history.next, history.saved, history.undo, history.redo))
-            rest = known[len(due) :]
-            self.open.update((rest,)) if rest else self.open.clear()
+            if rest:
+                self.waiting.put(self._entries(rest))
+            else:
+                self.waiting.clear()
 
     def close(self) -> None:
         pass
@@ -175,7 +180,7 @@ def edit_history_event_time(events: DataFrame, late: str = LATE) -> DataFrame:
     A minute's events come out once the watermark, ``late`` behind the latest event, has passed that minute; what arrives for it later is dropped.
     """
     keyed_state(events.sparkSession)
-    cols = events.select("doc_id", "event_id", "ts", "op", "heap_bytes").withWatermark("ts", late)
-    return cols.groupBy("doc_id").transformWithStateInPandas(
+    cols = events.select("doc_id", "event_id", "ts", F.unix_micros("ts").alias("micros"), "op", "heap_bytes").withWatermark("ts", late)
+    return cols.groupBy("doc_id").transformWithState(
         statefulProcessor=OrderedHistoryProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )

@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from quireflow.streaming import history as H
 from quireflow.streaming import jobs as J
@@ -130,3 +131,48 @@ def test_windows_are_upserted_and_leave_the_state(spark, tmp_path):
     got = N.read_upserted(spark, out, ["from_ts", "kind"], "from_ts timestamp, kind string, hits long").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < len(want) / 2
+
+
+class Timers:
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class CountedState:
+    """A document's state in memory; every call is counted."""
+
+    def __init__(self):
+        self.calls, self.value, self.entries, self.timers = 0, None, [], set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("getValueState", "getListState", "getMapState"):
+                return self
+            if name == "get":
+                return iter(self.entries) if self.listed else self.value
+            if name in ("put", "appendList"):
+                self.entries = args[0] if name == "put" else self.entries + args[0]
+            elif name == "update":
+                self.value = args[0]
+            elif name == "clear":
+                self.entries = []
+            elif name == "registerTimer":
+                self.timers.add(args[0])
+
+        return call
+
+
+def test_calls_follow_triggers_and_not_events(spark):
+    # 2,000 events in as many minutes, in one trigger and one firing: a call or more for each event took hours at millions.
+    processor, waiting, history, timers = H.OrderedHistoryProcessor(), CountedState(), CountedState(), Timers()
+    waiting.listed, history.listed = True, False
+    history.getListState = lambda *a: waiting
+    processor.init(history)
+    event = Row("micros", "event_id", "op", "heap_bytes")
+    timers.watermark = 0
+    list(processor.handleInputRows((7,), iter([event(i * 60_000_000, i, "record", 1) for i in range(2000)]), timers))
+    timers.watermark = 1990 * 60_000
+    out = list(processor.handleExpiredTimer((7,), timers, None))
+    assert [r["event_id"] for r in out] == list(range(1990)) and out[-1]["undo_depth"] == 100
+    assert waiting.calls + history.calls < 20 and history.timers == {60_000, 1991 * 60_000}
